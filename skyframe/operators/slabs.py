@@ -179,7 +179,7 @@ def locate(points: DataFrame, x: str, y: str, regions: DataFrame, region_id: str
     ends = good.select("region", "v", F.posexplode("v").alias("i", "p")).select("region", "p", F.get("v", (F.col("i") + 1) % F.size("v")).alias("q"))
     e = ends.where("p.x != q.x").select(
         "region", F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r")
-    ).select("region", "l", "r", F.explode(F.sequence(F.floor(F.col("l.x") / slab), F.floor(F.col("r.x") / slab))).cast("long").alias("__slab"))
+    ).select("region", "l", "r", F.explode(F.sequence(F.floor(F.col("l.x") / slab), F.floor(F.col("r.x") / slab))).alias("__slab"))
     slope = (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     x0, x1 = F.greatest(F.col("l.x"), F.col("__slab") * slab), F.least(F.col("r.x"), (F.col("__slab") + 1) * slab)
     e = e.select("region", "__slab", x0.alias("x0"), (F.col("l.y") + slope * (x0 - F.col("l.x"))).alias("y0"), x1.alias("x1"), (F.col("l.y") + slope * (x1 - F.col("l.x"))).alias("y1")).where("x0 < x1")
