@@ -60,10 +60,10 @@ ADDRESS_SHAPES = [
     r"\b(?:(?:\p{Lu}\p{L}*\s+)?\p{Lu}[\p{L}\p{M}-]*-?(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|steig|graben)|"
     r"(?:Am|An\s+der|Im|Zum|Zur|Alte[rn]?|Neue[rn]?|Obere|Untere)\s+(?:Hafen|Markt|Brücke|Bahnhof|Tor|Ufer|Kirche|Park|Anger|Mühle))\s+\d{1,3}\s?\p{Ll}?(?![\p{L}\d.])",
 ]
-WORD = r"\p{Lu}[\p{L}\p{M}’']*(?:-\p{Lu}[\p{L}\p{M}’']*)*"
+WORD = r"\p{Lu}[\p{L}\p{M}’']+(?:-\p{Lu}[\p{L}\p{M}’']*)*"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Bits a term must disclose: the word before an identity number, a family word, a given word that is in no list.
-THRESHOLDS = {"id": 0.0, "family": -2.0, "given": 2.0}
+THRESHOLDS = {"id": 0.0, "family": 1.0, "given": 2.0}
 KINDS = ["email", "phone", "id_number", "address", "name"]
 SPAN_SCHEMA = "doc_id {id}, kind string, start_pos long, end_pos long, term string, other string, near int, n long, alt_start long"
 
@@ -169,8 +169,6 @@ class Finder:
                 g, f = fold(m["g"]), fold(m["f"])
                 last = f.split("-")[-1]
                 skip = f in TITLES or f in self.given or last in self.given or len(f) < 3 or "\n\n" in m[0]
-                if form == "plain" and g == "m." and (f in self.given or (m["m"] and False)):
-                    skip = True  # Monsieur before a given name
                 if skip or taken[m.start() : m.end()].any() or g in TITLES:
                     continue
                 if form == "plain" and g == "m." and m["m"] and not m["p"]:  # M. X. Family: a title and an initial
@@ -182,7 +180,7 @@ class Finder:
                     alt = -1
                     if form == "plain" and len(g.rstrip(".")) == 1:  # Unlisted X. Family
                         before = p["before"].search(text, max(0, m.start() - 40), m.start())
-                        if before and before[1][0].isupper() and before[1][1:2].islower() | before[1][1:2].isupper() and fold(before[1]) not in TITLES and text[before.end(1) : m.start()].isspace():
+                        if before and before[1][0].isupper() and len(before[1]) > 1 and fold(before[1]) not in TITLES and text[before.end(1) : m.start()].isspace():
                             alt = before.start(1)
                             yield ("name", start, m.end(), f, fold(before[1]), int(not self._public(text, m, g, f, p)), alt)
                             continue
