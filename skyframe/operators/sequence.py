@@ -16,19 +16,19 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[str], name: str
     a group with a third of all rows spreads over a third of the partitions; each partition is numbered on its own
     and then shifted by the row counts of the group's earlier partitions (one row per group and partition).
     """
-    rows = cut(df.repartitionByRange(*groups, *order).withColumn("_piece", F.spark_partition_id()))
-    within = Window.partitionBy(*groups, "_piece").orderBy(*order)
-    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut(df.repartitionByRange(*groups, *order).withColumn("__rank_piece", F.spark_partition_id()))
+    within = Window.partitionBy(*groups, "__rank_piece").orderBy(*order)
+    before = Window.partitionBy(*groups).orderBy("__rank_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
-        rows.groupBy(*groups, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_piece").alias("_p"),
-                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        rows.groupBy(*groups, "__rank_piece").agg(F.count(F.lit(1)).alias("__rank_n"))
+        .select(*[F.col(g).alias(f"__rank_g{i}") for i, g in enumerate(groups)], F.col("__rank_piece").alias("__rank_p"),
+                F.coalesce(F.sum("__rank_n").over(before), F.lit(0)).alias("__rank_offset"))
     )
-    same = F.col("_piece") == F.col("_p")
+    same = F.col("__rank_piece") == F.col("__rank_p")
     for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    placed = rows.withColumn("_k", F.row_number().over(within)).join(pieces, same)
-    return placed.withColumn(name, F.col("_offset") + F.col("_k") - 1).drop("_piece", "_p", "_offset", "_k", *[f"_g{i}" for i in range(len(groups))])
+        same = same & F.col(g).eqNullSafe(F.col(f"__rank_g{i}"))
+    placed = rows.withColumn("__rank_k", F.row_number().over(within)).join(pieces, same)
+    return placed.withColumn(name, F.col("__rank_offset") + F.col("__rank_k") - 1).drop("__rank_piece", "__rank_p", "__rank_offset", "__rank_k", *[f"__rank_g{i}" for i in range(len(groups))])
 
 
 def with_halo(df: DataFrame, rank: str, block: int, halo: int) -> DataFrame:

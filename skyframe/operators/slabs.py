@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARCSEC = math.pi / 180 / 3600
-#: On a face, an angle seen along a coordinate is at most sqrt(2) times as long, plus a little beyond the face's border.
-STRETCH = 1.4143
 #: (main axis, sign, axis of u, axis of v)
 FACES = [("x", 1, "y", "z"), ("x", -1, "y", "z"), ("y", 1, "z", "x"), ("y", -1, "z", "x"), ("z", 1, "x", "y"), ("z", -1, "x", "y")]
 TILE_REGIONS = 16
@@ -37,6 +35,14 @@ def sky_points(df: DataFrame, id_col: str, ra: str, dec: str) -> DataFrame:
     return once.select("id", (F.cos(d) * F.cos(a)).alias("x"), (F.cos(d) * F.sin(a)).alias("y"), F.sin(d).alias("z"))
 
 
+def half_width(radius: float) -> float:
+    """Half the side of a box on a face that holds a disc of ``radius`` (radians). An angle seen along a face's coordinate is
+    1 / cos(latitude) times as long, and the disc of a point on the face reaches latitude 45 degrees + radius."""
+    if not 0 < radius < 0.12:
+        raise ValueError("the radius must be above 0 and below seven degrees")
+    return radius * 1.0001 / math.cos(math.pi / 4 + radius)
+
+
 def _tiles(points: DataFrame, half: float) -> DataFrame:
     """One row per point and tile that its region touches: tile, v, id, home, x, y, z. home: the point itself is there."""
     width = 2 * half * TILE_REGIONS
@@ -49,20 +55,23 @@ def _tiles(points: DataFrame, half: float) -> DataFrame:
     for k, (axis, sign, b, c) in enumerate(FACES):
         main = F.col(axis) * sign
         u, v = F.atan2(F.col(b), main), F.atan2(F.col(c), main)
-        near = (main > 0.5) & (F.abs(F.col(b)) <= main * math.tan(limit)) & (F.abs(F.col(c)) <= main * math.tan(limit))
+        near = (main > 0.3) & (F.abs(F.col(b)) <= main * math.tan(limit)) & (F.abs(F.col(c)) <= main * math.tan(limit))
         spots.append(F.when(near, F.struct(F.lit(k).alias("face"), u.alias("u"), v.alias("v"))))
-    faced = points.withColumn("_home", home).withColumn("_spot", F.explode(F.array_compact(F.array(*spots)))).select("id", "x", "y", "z", "_home", "_spot.*")
-    cell = lambda e: F.floor((e + 1) / width).cast("long")  # noqa: E731  u and v lie within (-1, 1)
+    faced = points.withColumn("_home", home).withColumn("_spot", F.explode(F.array_compact(F.array(*spots)))).select(*points.columns, "_home", "_spot.*")
+    cell = lambda e: F.floor((e + 2) / width).cast("long")  # noqa: E731  u and v lie within (-1.5, 1.5)
     span = lambda c: F.sequence(cell(F.col(c) - half), cell(F.col(c) + half))
     tiled = faced.withColumn("_i", F.explode(span("u"))).withColumn("_j", F.explode(span("v")))
     at_home = (F.col("face") == F.col("_home")) & (F.col("_i") == cell(F.col("u"))) & (F.col("_j") == cell(F.col("v")))
-    side = int(2 / width) + 2
+    side = int(4 / width) + 2
     tile = (F.col("face").cast("long") * side + F.col("_i")) * side + F.col("_j")
-    return tiled.select(tile.alias("tile"), "v", "id", at_home.alias("home"), "x", "y", "z", F.col("face").cast("int").alias("face"))
+    return tiled.select(tile.alias("tile"), "v", at_home.alias("home"), F.col("face").cast("int").alias("face"), *points.columns)
+
 
+def _locate_in_slabs(half: float, chord2: float, two_sided: bool = False, most: int = 4_000_000):
+    """Kernel over rows sorted by (tile, v). Rows that later regions can still reach are carried from batch to batch.
 
-def _locate_in_slabs(half: float, chord2: float, most: int = 4_000_000):
-    """Kernel over rows sorted by (tile, v). Rows that later regions can still reach are carried from batch to batch."""
+    One-sided: pairs of different ids. Two-sided: pairs of a row with side 0 and one with side 1, with their chord.
+    """
     axes = {"x": 0, "y": 1, "z": 2}
     face_u = np.array([axes[b] for _, _, b, _ in FACES])
     face_m = np.array([axes[a] for a, _, _, _ in FACES])
@@ -80,12 +89,13 @@ def _locate_in_slabs(half: float, chord2: float, most: int = 4_000_000):
             tile, v, ids, home = (rows[c].to_numpy() for c in ("tile", "v", "id", "home"))
             xyz = rows[["x", "y", "z"]].to_numpy()
             face = rows["face"].to_numpy()
+            side = rows["side"].to_numpy() if two_sided else None
             at = np.arange(len(rows))
             u = np.arctan2(xyz[at, face_u[face]], xyz[at, face_m[face]] * face_s[face])
             number = np.cumsum(np.r_[0, tile[1:] != tile[:-1]]).astype(np.int64)
             # slab borders every 2 * half; a region [u - half, u + half] is cut at the border it crosses
-            slab = np.floor((u + 1) / (2 * half)).astype(np.int64)
-            low = np.floor((u - half + 1) / (2 * half)).astype(np.int64)
+            slab = np.floor((u + 2) / (2 * half)).astype(np.int64)
+            low = np.floor((u - half + 2) / (2 * half)).astype(np.int64)
             first = np.full(number[-1] + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, number, low)
             key = lambda s, h: ((number * slabs + (s - first[number])) << 37) | ((h + 2) / 4 / unit).astype(np.int64)
@@ -103,14 +113,18 @@ def _locate_in_slabs(half: float, chord2: float, most: int = 4_000_000):
                 point = np.repeat(np.arange(a, b) + fresh, count)
                 offset = np.arange(len(point)) - np.repeat(np.cumsum(count) - count, count)
                 region = owner[np.repeat(start[a:b], count) + offset]
-                ok = (region < point) & (np.abs(u[region] - u[point]) <= half) & (ids[region] != ids[point])
+                ok = (region < point) & (np.abs(u[region] - u[point]) <= half)
+                ok &= (side[region] != side[point]) if two_sided else (ids[region] != ids[point])
                 region, point = region[ok], point[ok]
-                smaller_home = np.where(ids[region] < ids[point], home[region], home[point])
+                # a pair is found in every tile that both touch; it counts in the home tile of its first member
+                first_is_region = side[region] < side[point] if two_sided else ids[region] < ids[point]
+                a_row, b_row = np.where(first_is_region, region, point), np.where(first_is_region, point, region)
                 d = xyz[region] - xyz[point]
-                ok = smaller_home & ((d * d).sum(axis=1) < chord2)
-                region, point = region[ok], point[ok]
-                if len(region):
-                    yield pd.DataFrame({"a": np.minimum(ids[region], ids[point]), "b": np.maximum(ids[region], ids[point])})
+                d2 = (d * d).sum(axis=1)
+                ok = home[a_row] & (d2 < chord2)
+                if ok.any():
+                    out = {"a": ids[a_row[ok]], "b": ids[b_row[ok]]}
+                    yield pd.DataFrame({**out, "d2": d2[ok]} if two_sided else out)
                 a = b
             kept = rows[(tile == tile[-1]) & (v >= v[-1] - half * 1.001)]
 
@@ -122,17 +136,30 @@ def near_pairs(df: DataFrame, id_col: str, ra: str, dec: str, radius_arcsec: flo
 
     Points with unusable coordinates take no part (see sky_points). A tile is 32 region half-widths wide (23" for 1"), so
     even one that held a third of all rows is only as much work as the pairs in it; it is swept in order of v and only the
-    rows within reach are kept in memory. Radius: up to a few degrees.
+    rows within reach are kept in memory. Radius: below seven degrees.
     """
     radius = radius_arcsec * ARCSEC
-    half = radius * STRETCH
-    if not 0 < half < 0.05:
-        raise ValueError("radius must be above 0 and below two degrees")
+    half = half_width(radius)
     rows = _tiles(sky_points(df, id_col, ra, dec), half).repartition("tile").sortWithinPartitions("tile", "v")
     chord2 = (2 * math.sin(radius / 2)) ** 2
     return rows.mapInPandas(_locate_in_slabs(half, chord2), "a long, b long").distinct()
 
 
+def neighbours(left: DataFrame, left_id: str, left_ra: str, left_dec: str, right: DataFrame, right_id: str, right_ra: str, right_dec: str, radius: float) -> DataFrame:
+    """All pairs of a left and a right row closer than ``radius`` degrees: a (left id), b (right id), dist (degrees).
+
+    Same tiles and slabs as near_pairs; ids are longs, and rows with the same id and position count once. Left rows are
+    points of their own tile only in the sense that a pair counts there; right rows go to every tile their region touches.
+    """
+    angle = math.radians(radius)
+    half = half_width(angle)
+    points = sky_points(left, left_id, left_ra, left_dec).withColumn("side", F.lit(0)).unionByName(sky_points(right, right_id, right_ra, right_dec).withColumn("side", F.lit(1)))
+    rows = _tiles(points, half).where("side = 1 OR home").repartition("tile").sortWithinPartitions("tile", "v")
+    chord2 = (2 * math.sin(angle / 2)) ** 2
+    found = rows.mapInPandas(_locate_in_slabs(half, chord2, True), "a long, b long, d2 double")
+    return found.select("a", "b", F.degrees(2 * F.asin(F.least(F.sqrt("d2") / 2, F.lit(1.0)))).alias("dist"))
+
+
 def _search_polygon(xs: np.ndarray, ys: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Inside test of points against one simple polygon's edges (x0, y0, x1, y1; x0 < x1) by sub-slabs and binary search."""
     cuts = np.unique(edges[:, [0, 2]])
