@@ -28,9 +28,9 @@ TILE_REGIONS = 16
 def sky_points(df: DataFrame, id_col: str, ra: str, dec: str) -> DataFrame:
     """Distinct (id, x, y, z) unit vectors. ra counts modulo 360; null, NaN or infinite coordinates, |dec| > 90 and null ids
     take no part. Redelivered rows are combined before the shuffle (positions equal to 1e-9 degrees are one)."""
-    lon, lat = F.col(ra).cast("double"), F.col(dec).cast("double")
-    good = df.where(F.col(id_col).isNotNull() & lon.isNotNull() & ~F.isnan(lon) & (F.abs(lon) < F.lit(float("inf"))) & lat.between(-90.0, 90.0))
-    once = good.select(F.col(id_col).alias("id"), F.round(F.pmod(lon, F.lit(360.0)), 9).alias("lon"), F.round(lat, 9).alias("lat")).distinct()
+    own, lon, lat = F.col(f"`{id_col}`"), F.col(f"`{ra}`").cast("double"), F.col(f"`{dec}`").cast("double")
+    good = df.where(own.isNotNull() & lon.isNotNull() & ~F.isnan(lon) & (F.abs(lon) < F.lit(float("inf"))) & lat.between(-90.0, 90.0))
+    once = good.select(own.alias("id"), F.round(F.pmod(lon, F.lit(360.0)), 9).alias("lon"), F.round(lat, 9).alias("lat")).distinct()
     a, d = F.radians("lon"), F.radians("lat")
     return once.select("id", (F.cos(d) * F.cos(a)).alias("x"), (F.cos(d) * F.sin(a)).alias("y"), F.sin(d).alias("z"))
 

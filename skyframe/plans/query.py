@@ -300,7 +300,7 @@ class BoundQuery:
                 self.query.items = kind
             renamed = self.db.table(into.table).schema.resolve(into.column) if into.column and self.db.table_exists(into.table) else into.column
             if into.mode == "at":
-                renamed = self.db.table(into.table).schema.primary_key if self.db.table_exists(into.table) else "_id_"
+                renamed = self.db.table(into.table).schema.primary_key if self.db.table_exists(into.table) else "id"
             key = (renamed or key).lstrip("_") or "id"
             df = df.drop(*[c for c in df.columns if c == key]).withColumnRenamed("__into", key)
         if not self.db.table_exists(into.table):

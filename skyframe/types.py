@@ -81,5 +81,5 @@ def u64_order(c: Column) -> Column:
 
 
 def mjd(ts: Column) -> Column:
-    """Modified Julian date, in days, of a timestamp."""
-    return F.unix_micros(ts) / F.lit(86400e6) + F.lit(40587)
+    """Modified Julian date, in days, of a timestamp; one without a zone is taken in the session's zone."""
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(86400e6) + F.lit(40587)
