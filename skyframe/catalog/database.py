@@ -47,7 +47,22 @@ class Database:
         if "." in name:
             db, table = name.split(".", 1)
             options = [(f"{r.rsplit('/', 1)[0]}/{db}", table) for r in self.roots]
-        return next(((r, t) for r, t in options if Folder(self.spark, f"{r}/{t}").exists("schema.json")), None)
+        for root, table in options:
+            folder = Folder(self.spark, root)
+            if folder.exists(f"{table}/schema.json"):
+                return root, table
+            if folder.exists(f"{table}.follow"):
+                return json.loads(folder.read(f"{table}.follow"))["root"], table
+        return None
+
+    def follow(self, table: str, root: str) -> None:
+        """Read ``table`` in place from another root (any path Spark can read) as if it were in the first one."""
+        if not Folder(self.spark, f"{root}/{table}").exists("schema.json"):
+            raise CatalogError(f"no table {table} in {root}")
+        Folder(self.spark, self.roots[0]).write(f"{table}.follow", json.dumps({"root": root.rstrip("/")}))
+
+    def unfollow(self, table: str) -> None:
+        Folder(self.spark, self.roots[0]).delete(f"{table}.follow")
 
     def table_exists(self, name: str) -> bool:
         return name in self.frames or self._root_of(name) is not None

@@ -37,6 +37,18 @@ def true_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
 
 
+def _strict(f: Callable) -> Callable:
+    """f, but null if any argument is null (least and greatest skip nulls)."""
+
+    def g(*args: Column) -> Column:
+        known = args[0].isNotNull()
+        for a in args[1:]:
+            known = known & a.isNotNull()
+        return F.when(known, f(*args))
+
+    return g
+
+
 def isfinite(x: Column) -> Column:
     return ~F.isnan(x.cast("double")) & (F.abs(x) != F.lit(INF))
 
@@ -119,9 +131,10 @@ NUMERIC: dict[str, tuple[Callable, int | None]] = {
     "rint": (F.rint, 1), "trunc": (lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"), 1), "fix": (lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"), 1),
     "fmod": (lambda a, b: F.when(b == 0, F.lit(NAN)).otherwise(a % F.when(b != 0, b)), 2), "mod": (floor_mod, 2), "remainder": (floor_mod, 2),
     "power": (lambda a, b: F.pow(a, b), 2), "sign": (lambda x: F.signum(x), 1),
-    "minimum": (lambda a, b: F.when(F.isnan(a.cast("double")) | F.isnan(b.cast("double")), F.lit(NAN)).otherwise(F.least(a, b)), 2),
-    "maximum": (F.greatest, 2), "fmin": (F.least, 2), "fmax": (lambda a, b: F.when(F.isnan(a.cast("double")), b).when(F.isnan(b.cast("double")), a).otherwise(F.greatest(a, b)), 2),
-    "where": (lambda c, a, b: F.when(c, a).otherwise(b), 3), "clip": (lambda x, a, b: F.least(F.greatest(x, a), b), 3),
+    "minimum": (_strict(lambda a, b: F.when(F.isnan(a.cast("double")) | F.isnan(b.cast("double")), F.lit(NAN)).otherwise(F.least(a, b))), 2),
+    "maximum": (_strict(F.greatest), 2), "fmin": (_strict(F.least), 2),
+    "fmax": (_strict(lambda a, b: F.when(F.isnan(a.cast("double")), b).when(F.isnan(b.cast("double")), a).otherwise(F.greatest(a, b))), 2),
+    "where": (lambda c, a, b: F.when(c, a).otherwise(b), 3), "clip": (_strict(lambda x, a, b: F.least(F.greatest(x, a), b)), 3),
     "isnan": (lambda x: F.isnan(x.cast("double")), 1), "isfinite": (isfinite, 1), "isinf": (lambda x: F.abs(x) == F.lit(INF), 1), "isnull": (F.isnull, 1),
     "radians": (F.radians, 1), "degrees": (F.degrees, 1), "deg2rad": (F.radians, 1), "rad2deg": (F.degrees, 1),
     "logical_and": (lambda a, b: a.cast("boolean") & b.cast("boolean"), 2), "logical_or": (lambda a, b: a.cast("boolean") | b.cast("boolean"), 2),

@@ -38,7 +38,7 @@ def coverage(df: DataFrame, lon: Column, lat: Column, dx: float = 0.5) -> DataFr
     """
     x = F.pmod(lon.cast("double"), F.lit(360.0))
     y = F.greatest(F.least(lat.cast("double"), F.lit(90.0)), F.lit(-90.0))
-    rows = df.where(x.isNotNull() & ~F.isnan(x) & y.isNotNull() & ~F.isnan(lat.cast("double")))
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & lat.isNotNull() & ~F.isnan(lat.cast("double")))
     return rows.groupBy(F.floor(x / dx).cast("int").alias("i"), F.floor((90 - y) / dx).cast("int").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 

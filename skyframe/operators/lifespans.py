@@ -81,6 +81,8 @@ def islands(files: DataFrame, block: int = 4096) -> DataFrame:
     ``block`` positions, so none holds more rows than that; islands that only seem to start or end at a block border
     are taken out by looking for the other half.
     """
+    if block < 2:
+        raise ValueError("a block holds two positions or more")
     rows = files.select(*KEY, "pos", F.explode("fields").alias("f")).select(
         *KEY, "pos", "f.field", "f.kind", "f.note", F.floor(F.col("pos") / block).alias("_block")
     )
