@@ -58,6 +58,8 @@ def normal_form(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             t = BROKEN.sub("", t)
         return odd.sub(lambda m: several.get(ord(m[0])) or _fold(m[0])[:1] or " ", t) if odd.search(t) else t
 
+    if not texts:
+        return np.empty(0, np.uint32), np.zeros(1, np.int64)
     joined = [f" {plain(t)} \x01" for t in texts]
     raw = np.frombuffer("".join(joined).encode("utf-32-le", "replace"), np.uint32)
     size = np.array([len(t) for t in joined], np.int64)

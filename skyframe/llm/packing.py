@@ -45,7 +45,8 @@ def best_fit(size: np.ndarray, capacity: int, max_items: int, max_cost: float, r
     order = np.argsort(-size, kind="stable")
     scale = np.array([1 / capacity, 1 / max_items, 1 / max_cost])
     weight = np.asarray(weights)[:, None]
-    demand_all = np.stack([size.astype(float), np.ones(len(size)), size.astype(float) ** 2]) * scale[:, None]
+    # an item that alone costs more than a container's attention fills it
+    demand_all = np.minimum(np.stack([size.astype(float), np.ones(len(size)), size.astype(float) ** 2]) * scale[:, None], 1.0)
     smallest = np.minimum.accumulate(size[order][::-1])[::-1] / capacity  # least size still to come
     room = np.empty((3, 64))
     number = np.empty(64, np.int64)
@@ -79,7 +80,8 @@ def pack(lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], rule: st
     ``lengths``: doc_id and n_tokens. A document longer than the capacity is divided into full containers of its own and
     a rest that is packed like any other item; no other is divided. A document without tokens is an item of size 0, a null
     length counts as 0, repeated rows are items of their own. ``max_docs`` per container: by default capacity / 16, at
-    least 16; ``attention``: the cost capacity as a multiple of capacity squared. The items are dealt to shards of about
+    least 16; ``attention``: the cost capacity as a multiple of capacity squared; a document whose cost alone is above it gets
+    a container of its own. The items are dealt to shards of about
     ``shard_items`` by row number, whatever their keys, and each shard is packed alone; only its last containers can be
     left unfilled for want of items.
     """
@@ -105,8 +107,6 @@ def pack(lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], rule: st
         name, shard = key
         capacity, docs, cost = limits[name]
         df = df.sort_values("row_no", kind="stable")
-        if (df["size"] ** 2 > cost).any():
-            raise ValueError(f"{name}: a document's attention cost alone is above the capacity")
         number = best_fit(df["size"].to_numpy(), capacity, docs, cost, rule)
         return pd.DataFrame({
             "pack_name": name, "container": [f"{name}-s{shard}-{b}" for b in number], "doc_id": df["doc_id"], "part": df["_whole"],
