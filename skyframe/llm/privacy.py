@@ -50,16 +50,21 @@ AT = r"(?:\s*(?:@|\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*)"
 DOT = r"(?:\.|\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\})\s*|\s+(?:dot|punkt|point)\s+)"
 SPELT_AT, SPELT_DOT = r"\s+(?:at|arobase|klammeraffe|ät)\s+", r"(?:\s+(?:dot|punkt|point)\s+)"
 EMAIL_SHAPES = [rf"(?i:{LOCAL}{AT}{LABEL}(?:{DOT}{LABEL})+)", rf"(?i:{LOCAL}{SPELT_AT}{LABEL}(?:{SPELT_DOT}{LABEL})+)"]
-NUMBER = r"\d{1,4}\s?\p{Ll}?"
-ADDRESS_SHAPES = [
-    r"(?:(?i:flat|apt\.?|apartment|unit|suite)\s+\d+\p{L}?\s*,?\s+)?(?<![\d/-])\b\d{1,4}\p{Ll}?\s+(?:\p{Lu}[\p{L}\p{M}’'-]*\s+){1,3}"
-    r"(?i:street|st|road|rd|lane|ln|avenue|ave|drive|close|terrace|square|crescent|row|court)\b",
-    r"(?:(?i:appartement|appt?\.?|apt\.?|logement)\s+\w+\s*,?\s+)?(?<![\d/-])\b\d{1,4}\p{Ll}?(?:\s+(?i:bis|ter|quater))?\s*,?\s+"
-    r"(?i:rue|avenue|av\.|quai|impasse|bd\.?|boulevard|place|chemin|allée|ruelle|cours|square|route|passage|sentier)\s+"
+#: An address is looked for at its house number: what follows it (English, French), or stands before it (German).
+AFTER_NUMBER = [
+    r"\d{1,4}\p{Ll}?\s+(?:\p{Lu}[\p{L}\p{M}’'-]*\s+){1,3}(?i:street|st|road|rd|lane|ln|avenue|ave|drive|close|terrace|square|crescent|row|court)\b",
+    r"\d{1,4}\p{Ll}?(?:\s+(?i:bis|ter|quater))?\s*,?\s+(?i:rue|avenue|av\.|quai|impasse|bd\.?|boulevard|place|chemin|allée|ruelle|cours|square|route|passage|sentier)\s+"
     r"(?:(?i:de\s+la|de\s+l[’']|des|du|de|d[’'])\s*)?\p{Lu}[\p{L}\p{M}’'-]*",
-    r"\b(?:(?:\p{Lu}\p{L}*\s+)?\p{Lu}[\p{L}\p{M}-]*-?(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|steig|graben)|"
-    r"(?:Am|An\s+der|Im|Zum|Zur|Alte[rn]?|Neue[rn]?|Obere|Untere)\s+(?:Hafen|Markt|Brücke|Bahnhof|Tor|Ufer|Kirche|Park|Anger|Mühle))\s+\d{1,3}\s?\p{Ll}?(?![\p{L}\d.])",
 ]
+FLAT = r"(?i:\b(?:flat|apt\.?|apartment|unit|suite|appartement|appt?\.?|logement)\s+\w+\s*,?\s+)$"
+STREET_ENDS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "steig", "graben", "hafen", "markt", "brücke", "bahnhof", "tor", "kirche", "park", "anger", "mühle")
+BEFORE_NUMBER = (
+    r"\b(?:(?:\p{Lu}\p{L}*\s+)?\p{Lu}[\p{L}\p{M}-]*-?(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|steig|graben)|"
+    r"(?:Am|An\s+der|Im|Zum|Zur|Alte[rn]?|Neue[rn]?|Obere|Untere)\s+(?:Hafen|Markt|Brücke|Bahnhof|Tor|Ufer|Kirche|Park|Anger|Mühle))\s+$"
+)
+HOUSE_NUMBER = r"\d{1,3}\s?\p{Ll}?(?![\p{L}\d.])"
+#: Around one of these a mail address is looked for.
+AT_SIGNS = r"(?i)@|[\[({<]\s*at\s*[\])}>]|\s(?:at|arobase|klammeraffe|ät)\s+[\w-]+\s+(?:dot|punkt|point)\s"
 WORD = r"\p{Lu}[\p{L}\p{M}’']+(?:-\p{Lu}[\p{L}\p{M}’']*)*"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Bits a term must disclose: the word before an identity number, a family word, a given word that is in no list.
@@ -110,9 +115,16 @@ class Finder:
                 "id": regex.compile("|".join(ID_SHAPES)),
                 "email": regex.compile("|".join(EMAIL_SHAPES)),
                 "phone": regex.compile("|".join(PHONE_SHAPES)),
-                "address": regex.compile("|".join(ADDRESS_SHAPES)),
-                "turned": regex.compile(rf"(?<![\p{{L}}\p{{M}}’'-])(?P<p>{particle})(?P<f>{WORD}),\s+(?P<g>\p{{Lu}}\.|{WORD})(?P<m>\s+\p{{Lu}}\.)?(?![\p{{L}}\p{{M}}])"),
-                "plain": regex.compile(rf"(?<![\p{{L}}\p{{M}}’'.-])(?P<g>\p{{Lu}}\.|{WORD})\s+(?P<m>\p{{Lu}}\.\s+)?(?P<p>{particle})(?P<f>{WORD})(?![\p{{L}}\p{{M}}])"),
+                "at": regex.compile(AT_SIGNS),
+                "digits": regex.compile(r"(?<![\d/-])\d{1,4}(?!\d)"),
+                "after_number": regex.compile("|".join(AFTER_NUMBER)),
+                "flat": regex.compile(FLAT),
+                "before_number": regex.compile(BEFORE_NUMBER),
+                "house": regex.compile(HOUSE_NUMBER),
+                "heads": regex.compile(rf"(?<![\p{{L}}\p{{M}}’'-])(?:\p{{Lu}}\.|{WORD})"),
+                "particles": regex.compile(rf"(?<![\p{{L}}\p{{M}}’'-])(?:(?i:{'|'.join(PARTICLES)})\s+)+$"),
+                "turned": regex.compile(rf"(?P<f>{WORD}),\s+(?P<g>\p{{Lu}}\.|{WORD})(?P<m>\s+\p{{Lu}}\.)?(?![\p{{L}}\p{{M}}])"),
+                "plain": regex.compile(rf"(?<!\.)(?P<g>\p{{Lu}}\.|{WORD})\s+(?P<m>\p{{Lu}}\.\s+)?(?P<p>{particle})(?P<f>{WORD})(?![\p{{L}}\p{{M}}])"),
                 "word": regex.compile(rf"(?<![\p{{L}}\p{{M}}’'-]){WORD}"),
                 "before": regex.compile(r"([\p{L}\p{M}’']+)[^\p{L}]{0,3}$"),
                 "after": regex.compile(r"\s*,\s*([\p{L}.]+)\s*:"),
@@ -138,14 +150,10 @@ class Finder:
         numbers = list(p["id"].finditer(text)) if any(c.isdigit() for c in text) else []
         for m in numbers:
             mask(m.start(), m.end())
-        for kind in ("email", "phone", "address"):
-            for m in p[kind].finditer(masked):
-                if kind == "address" and masked[m.start() : m.end()].count("\n\n"):
-                    continue
-                spans.append((kind, m.start(), m.end(), None, None, 1, -1))
-            for s in spans:
-                if s[0] == kind:
-                    mask(s[1], s[2])
+        for kind, find in (("email", self._mails), ("phone", lambda t, q: ((m.start(), m.end()) for m in q["phone"].finditer(t))), ("address", self._addresses)):
+            for a, b in list(find(masked, p)):
+                spans.append((kind, a, b, None, None, 1, -1))
+                mask(a, b)
         names = list(self._names(masked, p))
         held = sorted([s[1] for s in spans] + [s[1] for s in names if s[5]])
         cuts = [m.start() for m in p["sentence"].finditer(masked)] if numbers else []
@@ -158,40 +166,75 @@ class Finder:
         yield from spans
         yield from names
 
+    @staticmethod
+    def _mails(text: str, p: dict) -> Iterator[tuple[int, int]]:
+        done = 0
+        for sign in p["at"].finditer(text):
+            if sign.start() < done:
+                continue
+            for m in p["email"].finditer(text, max(done, sign.start() - 100), min(len(text), sign.end() + 150)):
+                if m.start() <= sign.start() < m.end():
+                    yield m.start(), m.end()
+                    done = m.end()
+                    break
+
+    @staticmethod
+    def _addresses(text: str, p: dict) -> Iterator[tuple[int, int]]:
+        done = 0
+        for n in p["digits"].finditer(text):
+            a = n.start()
+            if a < done:
+                continue
+            m = p["after_number"].match(text, a)
+            if m:
+                flat = p["flat"].search(text, max(done, a - 40), a)
+                start, end = flat.start() if flat else a, m.end()
+            else:
+                before = text[max(done, a - 60) : a]
+                word = before.split()[-1:]
+                if not (word and before[-1].isspace() and word[0].lower().endswith(STREET_ENDS)):
+                    continue
+                street, house = p["before_number"].search(text, max(done, a - 60), a), p["house"].match(text, a)
+                if not street or not house:
+                    continue
+                start, end = street.start(), house.end()
+            if "\n\n" not in text[start:end]:
+                yield start, end
+                done = end
+
     def _names(self, text: str, p: dict) -> Iterator[tuple]:
         """Name candidates. near = 1: the given word is listed or an initial (a seed)."""
-        taken = np.zeros(len(text) + 1, bool)
+        taken = bytearray(len(text) + 1)
         rest = []
+        heads = [m.start() for m in p["heads"].finditer(text)]
         for form in ("turned", "plain"):
             at = 0
-            while m := p[form].search(text, at):
-                at = m.start() + 1
+            for head in heads:
+                if head < at or not (m := p[form].match(text, head)):
+                    continue
                 g, f = fold(m["g"]), fold(m["f"])
-                last = f.split("-")[-1]
-                skip = f in TITLES or f in self.given or last in self.given or len(f) < 3 or "\n\n" in m[0]
-                if skip or taken[m.start() : m.end()].any() or g in TITLES:
+                if g in TITLES or f in TITLES or f in self.given or len(f) < 3 or f.split("-")[-1] in self.given or "\n\n" in m[0] or taken.find(1, m.start(), m.end()) >= 0:
                     continue
                 if form == "plain" and g == "m." and m["m"] and not m["p"]:  # M. X. Family: a title and an initial
-                    at = m.start("m")
                     continue
-                start = m.start("p") if form == "turned" else m.start()
+                start = m.start()
+                if form == "turned" and (particles := p["particles"].search(text, max(0, start - 30), start)):
+                    start = particles.start()
                 if len(g.rstrip(".")) == 1 or g in self.given:
-                    taken[start : m.end()] = True
-                    alt = -1
+                    taken[start : m.end()] = b"\1" * (m.end() - start)
+                    if self._public(text, m, g, f, p):
+                        yield ("public", start, m.end(), f, None, 0, -1)
+                        continue
                     if form == "plain" and len(g.rstrip(".")) == 1:  # Unlisted X. Family
-                        before = p["before"].search(text, max(0, m.start() - 40), m.start())
-                        if before and before[1][0].isupper() and len(before[1]) > 1 and fold(before[1]) not in TITLES and text[before.end(1) : m.start()].isspace():
-                            alt = before.start(1)
-                            yield ("name", start, m.end(), f, fold(before[1]), int(not self._public(text, m, g, f, p)), alt)
+                        before = p["before"].search(text, max(0, start - 40), start)
+                        if before and before[1][0].isupper() and len(before[1]) > 1 and fold(before[1]) not in TITLES and text[before.end(1) : start].isspace():
+                            yield ("name", start, m.end(), f, fold(before[1]), 1, before.start(1))
                             continue
-                    if not self._public(text, m, g, f, p):
-                        yield ("name", start, m.end(), f, None, 1, alt)
-                    else:
-                        yield ("public", start, m.end(), f, None, 0, -1)
-                elif form == "plain" or "," in m[0]:
+                    yield ("name", start, m.end(), f, None, 1, -1)
+                else:
                     rest.append((start, m.end(), f, g, m))
         for start, end, f, g, m in rest:
-            if not taken[start:end].any() and not (g, f) in self.full and len(g) > 2:
+            if taken.find(1, start, end) < 0 and (g, f) not in self.full and len(g) > 2:
                 before = p["before"].search(text, max(0, start - 12), start)
                 titled = bool(before and fold(before[1]) in TITLES)
                 if not self._public(text, m, g, f, p):
@@ -202,6 +245,8 @@ class Finder:
             return True
         if (after := p["after"].match(text, m.end())) and fold(after[1]) in self.parties:
             return True
+        if m.start() > 60:
+            return False
         lead = text[: m.start()].strip()
         return (not lead or fold(lead.rstrip(".")) in TITLES) and bool(p["speaks"].match(text, m.end()))
 
