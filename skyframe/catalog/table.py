@@ -217,7 +217,14 @@ class Table:
 
     def read(self, bounds=None, pending: str | None = None) -> DataFrame:
         """The table's columns."""
-        return self._stored(bounds, pending).select(*[q(c) for c in self.schema.columns()])
+        return self._filled(self._stored(bounds, pending)).select(*[q(c) for c in self.schema.columns()])
+
+    def _filled(self, df: DataFrame) -> DataFrame:
+        """Zeros in the columns of later groups, which older files lack (the first group's stay bare for pushed filters)."""
+        later = {c for g in list(self.schema.groups)[1:] for c in self.schema.groups[g]}
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        plain = (T.NumericType, T.BooleanType, T.StringType)
+        return df.select(*[F.coalesce(q(c), zero(kinds[c])).alias(c) if c in later and isinstance(kinds[c], plain) else q(c) for c in df.columns])
 
     # -------------------------------------------------------------- writing
     def position(self) -> tuple[Column | None, Column | None, Column | None]:
@@ -290,7 +297,7 @@ class Table:
             raise CatalogError(f"{on} is not unique in the rows to write")
         key = self.schema.primary_key or on
         new = cut(df)
-        old = self._stored(pending=snapid)
+        old = self._filled(self._stored(pending=snapid))
         given = [c for c in new.columns if c != on]
         renamed = new.select(q(on).alias("_on"), *[q(c).alias(f"_new_{c}") for c in given])
         met = old.join(renamed, q(on) == F.col("_on"))
@@ -326,9 +333,8 @@ class Table:
             old = old.join(cells, (F.col("_CELL") == F.col("_pixel")) & (F.col("_T") == F.col("_slice")), "left_semi")
             rows = old.unionByName(rows.select(*old.columns))
         aside = f"data/{snapid}-{len(self.folder.names('data'))}"
-        # by cell and a hash of the row, so that a cell with most of the rows becomes several files of several tasks
-        spread = F.pmod(F.xxhash64(*[q(c) for c in list(self.schema.columns())[:1]]), F.lit(16))
-        rows.withColumn("_spread", spread).repartition("_CELL", "_T", "_spread").drop("_spread").write.partitionBy("_CELL", "_T").parquet(self.folder.at(aside))
+        # one file per small cell; adaptive execution splits a cell with most of the rows over several tasks and files
+        rows.hint("rebalance", "_CELL", "_T").write.partitionBy("_CELL", "_T").parquet(self.folder.at(aside))
         self._adopt(aside, snapid, before, touched)
 
     def _adopt(self, aside: str, snapid: str, before: DataFrame, touched: DataFrame) -> None:

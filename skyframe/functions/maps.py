@@ -44,7 +44,7 @@ class DustMap:
             out = np.full(len(lon_), np.nan)
             lo, la = lon_.to_numpy(float), lat_.to_numpy(float)
             for pole, sign in (("ngp", 1), ("sgp", -1)):
-                m = np.flatnonzero((la >= 0) if sign > 0 else (la < 0))
+                m = np.flatnonzero(np.isfinite(lo) & ((la >= 0) if sign > 0 else (la < 0)))
                 if len(m):
                     keys, image = shared.value[pole]
                     out[m] = sample(image, *polar_pixel(keys, lo[m], la[m], sign), order)

@@ -185,6 +185,32 @@ def position_id(lon, lat, t: Column | None = None, index: Column | None = None,
     return out if index is None else out.bitwiseOR(index.cast("long").bitwiseAND(F.lit(OBJECT_BITS)))
 
 
+def cells_around(lon, lat, offsets: list[tuple[float, float]], level: int = LEVEL) -> Column:
+    """Array of the static cells of points at ``offsets`` (Lambert plane) around a position, in steps of array transforms, so
+    that the expressions stay small."""
+    spots = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in offsets])
+
+    def on_sky(p: Column) -> Column:
+        x, y = lambert_inverse(p["a"], p["b"], lon, lat)
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+    def on_plane(p: Column) -> Column:
+        x, y = butterfly(p["lon"], p["lat"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def cell(p: Column) -> Column:
+        part = lambda v: F.when(~F.isnan(v), F.when(v >= 1, F.lit(1023)).otherwise(F.floor((1 + v) * 512))).cast("long")
+        return static_cell(cell_of_id(F.shiftleft(part(p["x"]), 54).bitwiseOR(F.shiftleft(part(p["y"]), 44)), level))
+
+    return F.transform(F.transform(F.transform(spots, on_sky), on_plane), cell)
+
+
+def circle(margin: float, points: int = 8) -> list[tuple[float, float]]:
+    """Offsets in the Lambert plane of points on a circle of ``margin`` degrees."""
+    r = 2 * math.sin(math.radians(margin) / 2)
+    return [(r * math.cos(2 * math.pi * k / points), r * math.sin(2 * math.pi * k / points)) for k in range(points)]
+
+
 def _cell_mask(level: int) -> int:
     keep = ((1 << level) - 1) << (10 - level)
     mask = (keep << 54) | (keep << 44) | (0xFFF << 32)

@@ -72,9 +72,7 @@ def associate(detections: DataFrame, radius: float, objects: DataFrame | None =
         rows = rows.unionByName(old.select(F.col("obj_id").alias("det_id"), F.lit(0).cast("long").alias("exp_id"), F.lit(float("-inf")).alias("mjd"), F.pmod("ra", F.lit(360.0)).alias("ra"), "dec", F.lit(True).alias("is_object")))
     place = lambda lon, lat: sky.static_cell(sky.cell_of_id(sky.position_id(lon, lat), level))
     own = place(F.col("ra"), F.col("dec"))
-    r = 2 * math.sin(math.radians(halo) / 2)
-    ring = [sky.lambert_inverse(F.lit(r * math.cos(math.pi * k / 4)), F.lit(r * math.sin(math.pi * k / 4)), F.col("ra"), F.col("dec")) for k in range(8)]
-    spots = F.array_distinct(F.array(own, *[place(*p) for p in ring]))
+    spots = F.array_distinct(F.concat(F.array(F.col("own")), sky.cells_around(F.col("ra"), F.col("dec"), sky.circle(halo), level)))
     spread = rows.withColumn("own", own).withColumn("cell", F.explode(spots)).withColumn("is_own", F.col("own") == F.col("cell"))
 
     def walk(df: pd.DataFrame) -> pd.DataFrame:
@@ -144,15 +142,10 @@ def cells_near_exposures(exposures: DataFrame, ra: str, dec: str, fov_radius: fl
     Cells of the centre, of rings of points a third, two thirds and all of the way out: enough for fields of view of a few
     pixels.
     """
-    spots = []
-    size = max(1, math.ceil(fov_radius / 0.9 / 1.0))
-    for ring in range(0, 3 * size + 1):
-        r = 2 * math.sin(math.radians(fov_radius * ring / (3 * size)) / 2)
-        n = 1 if ring == 0 else 8 * ring
-        for k in range(n):
-            lon, lat = sky.lambert_inverse(F.lit(r * math.cos(2 * math.pi * k / n)), F.lit(r * math.sin(2 * math.pi * k / n)), F.col(ra), F.col(dec))
-            spots.append(sky.static_cell(sky.cell_of_id(sky.position_id(lon, lat), level)))
-    return exposures.where(F.col(ra).isNotNull() & F.col(dec).between(-90, 90)).select(F.explode(F.array_distinct(F.array(*spots))).alias("cell")).distinct()
+    size = max(1, math.ceil(fov_radius / 0.9))
+    offsets = [(0.0, 0.0)] + [o for ring in range(1, 3 * size + 1) for o in sky.circle(fov_radius * ring / (3 * size), 8 * ring)]
+    spots = sky.cells_around(F.col(ra), F.col(dec), offsets, level)
+    return exposures.where(F.col(ra).isNotNull() & F.col(dec).between(-90, 90)).select(F.explode(F.array_distinct(spots)).alias("cell")).distinct()
 
 
 def match_catalogues(left: DataFrame, left_id: str, left_pos: tuple[str, str], right: DataFrame, right_id: str, right_pos: tuple[str, str], radius: float, neighbors: int = 1) -> DataFrame:

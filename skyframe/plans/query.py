@@ -175,13 +175,9 @@ class BoundQuery:
 
     def _with_halo(self, df: DataFrame, lon: Column, lat: Column, level: int, margin: float = 30 / 3600) -> DataFrame:
         """Rows of the border zone once more per neighbouring cell. Eight points on a circle around a row tell which."""
-        around = []
-        for k in range(8):
-            x, y = sky.lambert_inverse(F.lit(_circle(k, margin)[0]), F.lit(_circle(k, margin)[1]), lon, lat)
-            around.append(sky.static_cell(sky.cell_of_id(sky.position_id(x, y), level)))
         time = F.col("_CELLID").bitwiseAND(F.lit(0xFFF << 32))
         own = sky.static_cell(F.col("_CELLID"))
-        others = F.array_distinct(F.array_compact(F.array(*[F.when(c != own, c) for c in around])))
+        others = F.array_distinct(F.filter(sky.cells_around(lon, lat, sky.circle(margin), level), lambda c: c != own))
         halo = df.withColumn("__c", F.explode(others)).withColumn("_CELLID", F.col("__c").bitwiseOR(time)).drop("__c")
         return df.withColumn("_CACHED", F.lit(False)).unionByName(halo.withColumn("_CACHED", F.lit(True)))
 
@@ -349,10 +345,3 @@ def _known(options: dict) -> dict:
         raise TypeError(f"unknown options: {sorted(unknown)}")
     return {k: v for k, v in options.items() if k in names}
 
-
-def _circle(k: int, margin: float) -> tuple[float, float]:
-    """Point k of 8 on a circle of ``margin`` degrees, in the Lambert plane."""
-    import math
-
-    r = 2 * math.sin(math.radians(margin) / 2)
-    return r * math.cos(math.pi * k / 4), r * math.sin(math.pi * k / 4)

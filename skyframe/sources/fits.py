@@ -108,6 +108,21 @@ def image_data(keys: dict, data: bytes, start: int) -> np.ndarray:
     return v.astype(v.dtype.newbyteorder("=")) * keys.get("BSCALE", 1) + keys.get("BZERO", 0)
 
 
+def keep_nan(df: DataFrame) -> DataFrame:
+    """Floats that came through pandas: null, which these files do not have, is NaN again."""
+    nan = F.lit(float("nan"))
+    out = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = F.coalesce(c, nan.cast(kind)).alias(f.name)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+            c = F.transform(c, lambda v: F.coalesce(v, nan.cast(kind.elementType))  # noqa: B023
+            ).alias(f.name)
+        out.append(c)
+    return df.select(*out)
+
+
 def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, unit (number), name, header (text) of every unit of every file."""
 
@@ -159,7 +174,7 @@ def read_fits(spark: SparkSession, paths: str | list[str], schema: str | T.Struc
                     for a in range(0, len(out), 50_000):
                         yield out.iloc[a : a + 50_000]
 
-    df = files.select("content").mapInPandas(rows, full)
+    df = keep_nan(files.select("content").mapInPandas(rows, full))
     for n, v in (constants or {}).items():
         df = df.withColumn(n, F.lit(v))
     return df

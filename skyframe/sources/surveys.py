@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import sky
 from skyframe.functions.registry import flux_to_mag, flux_to_mag_err
-from skyframe.sources.fits import headers, read_fits, table_data
+from skyframe.sources.fits import headers, keep_nan, read_fits, table_data
 from skyframe.types import spark_type
 
 # ------------------------------------------------------------------ fixed values: columns of the survey tables, name:type
@@ -112,7 +112,7 @@ def read_exposures(spark: SparkSession, paths: str | list[str], survey: str) ->
 
     order = [*columns, "smf_fn", "hdr", "chip_hdr", "notfound_keys", "notfound_cols"]
     schema = _ddl(columns) + ", smf_fn string, hdr string, chip_hdr array<string>, notfound_keys array<string>, notfound_cols array<array<string>>"
-    return mend_positions(spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, schema)).select(*order)
+    return mend_positions(keep_nan(spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, schema))).select(*order)
 
 
 def read_detections(spark: SparkSession, paths: str | list[str], survey: str) -> DataFrame:
@@ -144,7 +144,7 @@ def read_detections(spark: SparkSession, paths: str | list[str], survey: str) ->
                     yield out
 
     found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, _ddl(columns) + ", smf_fn string")
-    return mend_positions(found).select(*columns, "smf_fn")
+    return mend_positions(keep_nan(found)).select(*columns, "smf_fn")
 
 
 def import_exposures(db, det_table: str, exp_table: str, paths: str | list[str], survey: str, create: bool = False) -> DataFrame:

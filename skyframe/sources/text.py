@@ -59,7 +59,7 @@ def read_text(spark: SparkSession, paths: str | list[str], columns: list[tuple[s
             value = raw.try_cast(kind)
         else:  # unsigned numbers beyond the signed range keep their bits
             value = raw.try_cast("decimal(20,0)")
-            value = F.when(value >= F.lit(1 << 63).cast("decimal(20,0)"), value - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(value).try_cast(kind)
+            value = F.when(value >= F.lit(str(1 << 63)).cast("decimal(20,0)"), value - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(value).try_cast(kind)
         bad = bad | value.isNull()
         out.append(value.alias(name))
     rows = lines.select(parts.alias("parts"))
