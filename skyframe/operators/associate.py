@@ -7,6 +7,7 @@ objects. Cells overlap by a halo, and an object belongs to the cell its first de
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions import sky
+from skyframe.session import cut
 
 LINK_SCHEMA = "det_id long, obj long, dist double, owner boolean, obj_ra double, obj_dec double, new boolean"
 
@@ -75,8 +77,8 @@ def associate(detections: DataFrame, radius: float, objects: DataFrame | None =
     spots = F.array_distinct(F.concat(F.array(F.col("own")), sky.cells_around(F.col("ra"), F.col("dec"), sky.circle(halo), level)))
     spread = rows.withColumn("own", own).withColumn("cell", F.explode(spots)).withColumn("is_own", F.col("own") == F.col("cell"))
 
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["mjd", "exp_id", "det_id"], kind="stable")
+    def walk(df: pd.DataFrame) -> list[tuple]:
+        """One cell, sorted by time, exposure and id."""
         xyz = _unit(df["ra"].to_numpy(), df["dec"].to_numpy())
         known, label, at, fresh, out = _Sky(radius), [], [], [], []
         ids, exps, mjds = df["det_id"].to_numpy(), df["exp_id"].to_numpy(), df["mjd"].to_numpy()
@@ -105,9 +107,29 @@ def associate(detections: DataFrame, radius: float, objects: DataFrame | None =
                 if mine[i]:
                     out.append((ids[i], ids[i], 0.0, True, ra[i], dec[i], True))
             start = stop
-        return pd.DataFrame(out, columns=["det_id", "obj", "dist", "owner", "obj_ra", "obj_dec", "new"])
-
-    links = spread.groupBy("cell").applyInPandas(walk, LINK_SCHEMA)
+        return out
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partitions hold whole cells one after the other; the one that is being read is in memory."""
+        columns = ["det_id", "obj", "dist", "owner", "obj_ra", "obj_dec", "new"]
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            starts = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1] if len(cell) else np.empty(0, int)
+            out: list[tuple] = []
+            for a, b in zip(starts, np.r_[starts[1:], len(cell)]):
+                part = batch.iloc[a:b]
+                if held and held[-1]["cell"].iloc[0] != cell[a]:
+                    out += walk(pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                held.append(part)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if held and (out := walk(pd.concat(held) if len(held) > 1 else held[0])):
+            yield pd.DataFrame(out, columns=columns)
+
+    order = ["cell", "mjd", "exp_id", "det_id"]
+    links = cut(spread.repartition("cell").sortWithinPartitions(*order).mapInPandas(cells, LINK_SCHEMA))
     made = links.where("det_id = obj AND new").select(F.col("obj").alias("obj_id"), F.col("obj_ra").alias("ra"), F.col("obj_dec").alias("dec"))
     # a link to a new object that its own cell did not make: the detection that would have started it joined another there
     claimed = links.where("new").select(F.col("obj").alias("obj_id"), F.col("obj_ra").alias("ra"), F.col("obj_dec").alias("dec")).distinct()
