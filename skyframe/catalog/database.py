@@ -234,8 +234,8 @@ class Database:
 
     # -------------------------------------------------------------- files
     def uri_path(self, uri: str) -> str:
-        """Path of 'lsd:table:group:file' or any other URI as it is."""
-        if not uri.startswith("lsd:"):
+        """Path of 'sky:table:group:file' or any other URI as it is."""
+        if not uri.startswith("sky:"):
             return uri
         _, table, group, name = uri.split(":", 3)
         t = self.table(table)

@@ -152,6 +152,30 @@ def test_exposure_import(db, spark, tmp_path):
     assert len(list(surveys.chips())) == 60
 
 
+def test_file_uris(db, spark, tmp_path):
+    db.create_table("stars", DEFINITION)
+    folder = tmp_path / "db" / "stars" / "files" / "hdr"
+    folder.mkdir(parents=True)
+    (folder / "one.txt").write_bytes(b"A = 1")
+    df = spark.createDataFrame([(1, "sky:stars:hdr:one.txt"), (2, "sky:stars:hdr:none.txt"), (3, None), (4, "sky:stars:hdr:one.txt")], "k int, uri string")
+    got = {r["k"]: r["content"] for r in db.fetch_uris(df, "uri").collect()}
+    assert got == {1: b"A = 1", 2: None, 3: None, 4: b"A = 1"}
+    db.register("h", db.fetch_uris(df, "uri").withColumn("hdr", F.decode("content", "utf-8")), primary_key="k")
+    assert sorted(r["a"] for r in db.query("fitskw(hdr, 'A', -1) AS a FROM h").dataframe().collect()) == [-1.0, -1.0, 1.0, 1.0]
+
+
+def test_followed_tables(db, spark, tmp_path):
+    db.create_table("stars", DEFINITION)
+    db.write("stars", stars(spark, 3))
+    other = Database(spark, str(tmp_path / "other"))
+    with pytest.raises(CatalogError):
+        other.follow("stars", str(tmp_path / "nowhere"))
+    other.follow("stars", db.roots[0])
+    assert other.read("stars").count() == 3 and other.table_exists("stars")
+    other.unfollow("stars")
+    assert not other.table_exists("stars") and Database(spark, str(tmp_path / "other")).table_exists("db.stars")
+
+
 def test_par_and_yaml(spark, tmp_path):
     (tmp_path / "x.par").write_text('typedef struct {\n int run;\n double v[2];\n char name[20];\n} RUNS;\n# c\nRUNS 94 {1.5 2} "two \\\nwords"\nRUNS 5 {3 4} {}\n')
     got = [tuple(r) for r in par.read_par(spark, str(tmp_path / "x.par")).collect()]
