@@ -11,22 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.operators.sequence import rank_in_groups
+from skyframe.session import cut
 
 KEY = ["stream", "hdu"]
 
 
-def _card(line: Column) -> Column:
-    """KEYWORD = value / description → struct(key, raw, quoted, note)."""
-    rest = F.regexp_extract(line, r"(?s)^[^=]*=(.*)$", 1)
-    quoted = rest.rlike(r"^\s*'")
-    text = F.rtrim(F.replace(F.regexp_extract(rest, r"(?s)^\s*'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'")))
-    plain = F.trim(F.regexp_extract(rest, r"(?s)^([^/]*)", 1))
-    note = F.when(quoted, F.regexp_extract(rest, r"(?s)^\s*'(?:[^']|'')*'\s*/(.*)$", 1)).otherwise(F.regexp_extract(rest, r"(?s)^[^/]*/(.*)$", 1))
+def _split(line: Column) -> Column:
+    """struct(key, rest) of a line; key '' where it has no '='."""
+    at = F.instr(line, "=")
+    return F.struct(F.trim(F.substr(line, F.lit(1), F.greatest(at - 1, F.lit(0)))).alias("key"), F.ltrim(F.substr(line, at + 1)).alias("rest"))
+
+
+def _card(c: Column) -> Column:
+    """struct(key, rest) → struct(key, raw, quoted, note). String functions do the work; only quoted values need a pattern."""
+    rest = c["rest"]
+    quoted = F.startswith(rest, F.lit("'"))
+    form = r"(?s)^'((?:[^']|'')*)'\s*(?:/(.*))?$"
+    text = F.rtrim(F.replace(F.regexp_extract(rest, form, 1), F.lit("''"), F.lit("'")))
+    slash = F.instr(rest, "/")
+    note = F.when(quoted, F.regexp_extract(rest, form, 2)).when(slash > 0, F.substr(rest, slash + 1)).otherwise("")
     return F.struct(
-        F.trim(F.regexp_extract(line, r"(?s)^([^=]*)=", 1)).alias("key"),
-        F.when(quoted, text).otherwise(plain).alias("raw"),
+        c["key"].alias("key"),
+        F.when(quoted, text).otherwise(F.trim(F.substring_index(rest, "/", 1))).alias("raw"),
         quoted.alias("quoted"),
-        F.lower(F.regexp_replace(note, r"\s", "")).alias("note"),
+        F.lower(F.translate(note, " \t\r", "")).alias("note"),
     )
 
 
@@ -45,7 +53,7 @@ def header_fields(df: DataFrame) -> DataFrame:
     is '' where a field has no type; ``note`` is the description in lower case without spaces. Lines without '=' hold no
     field. Of a field that a body has twice, the first counts.
     """
-    cards = F.filter(F.transform(F.split("body", "\n"), _card), lambda c: c["key"] != "")
+    cards = F.transform(F.filter(F.transform(F.split("body", "\n"), _split), lambda c: c["key"] != ""), _card)
     primary = F.transform("_cards", lambda c: F.struct(c["key"].alias("field"), _kind(c).alias("kind"), c["note"].alias("note"), c["raw"].alias("raw")))
 
     def column(c: Column) -> Column:
@@ -148,8 +156,8 @@ def lifespans(files: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def ranked_files(raw: DataFrame) -> DataFrame:
-    """header_files with ``pos``."""
-    return rank_in_groups(header_files(raw), KEY, ["file_no"], "pos")
+    """header_files with ``pos``. The parsed headers are stored once: ranking samples its input, and would parse twice."""
+    return rank_in_groups(cut(header_files(raw)), KEY, ["file_no"], "pos")
 
 
 def alias_table(files: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return lifespans.alias_table(lifespans.header_files(table(spark, d, "smf_raw")))
+    return lifespans.alias_table(cut(lifespans.header_files(table(spark, d, "smf_raw"))))
 
 
 P1_CARDS = r"""
