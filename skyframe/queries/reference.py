@@ -18,6 +18,7 @@ from skyframe.plans import joins
 from skyframe.plans.bounds import T, beam, polygon, rectangle
 from skyframe.plans.expr import Lookup
 from skyframe.session import cut, table
+from skyframe.sources import surveys
 from skyframe.types import mjd, u64_order, u64_text
 
 
@@ -137,8 +138,8 @@ _add("q06_array_index", _ask("vec_id, embedding(0) AS first, embedding(-1) AS la
      "SELECT vec_id, embedding[1] AS first, embedding[-1] AS last, embedding[vec_id % 3 + 1] AS some FROM embeddings")
 _add("q07_array_slice", lambda s, d: database(s, d).query("vec_id, embedding((1, 4)) AS a, embedding((-2,)) AS b, embedding((0, 9, 4)) AS c FROM vectors").dataframe().select("vec_id", *[F.aggregate(c, F.lit(0.0), lambda t, v: t + F.round(v.cast("double"), 6)).alias(c) for c in "abc"]),
      "SELECT vec_id, list_sum(list_transform(embedding[2:4], lambda v: round(CAST(v AS DOUBLE), 6))) AS a, list_sum(list_transform(embedding[-2:], lambda v: round(CAST(v AS DOUBLE), 6))) AS b, list_sum(list_transform([embedding[1], embedding[5], embedding[9]], lambda v: round(CAST(v AS DOUBLE), 6))) AS c FROM embeddings")
-_add("q46_mjd", lambda s, d: table(s, d, "events").select("event_id", F.round(mjd(F.col("ts")), 9).alias("mjd")),
-     "SELECT event_id, round(epoch_us(ts) / 86400e6 + 40587, 9) AS mjd FROM events")
+_add("q46_mjd", lambda s, d: table(s, d, "events").select("event_id", F.round(mjd(F.col("ts")), 6).alias("mjd")),
+     "SELECT event_id, round(epoch_us(ts) / 86400e6 + 40587, 6) AS mjd FROM events")
 _add("q47_dms_hms", lambda s, d: table(s, d, "customer").select("c_custkey", F.concat_ws(":", F.concat(F.when(F.col("c_custkey") % 2 == 1, "-").otherwise(""), (F.col("c_custkey") % 24).cast("string")), (F.col("c_custkey") % 60).cast("string"), (F.col("c_custkey") % 59).cast("string")).alias("t")).select("c_custkey", F.round(registry.dms(F.col("t")), 9).alias("deg"), F.round(registry.hms(F.col("t")), 9).alias("hour")),
      "SELECT c_custkey, round(s * v, 9) AS deg, round(15 * s * v, 9) AS hour FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN -1 ELSE 1 END AS s, c_custkey % 24 + (c_custkey % 60) / 60.0 + (c_custkey % 59) / 3600.0 AS v FROM customer)")
 _add("q50_unsigned_ids", lambda s, d: table(s, d, "sdss").select("sdss_id").distinct().select("sdss_id", u64_text(F.col("sdss_id")).alias("text"), (u64_order(F.col("sdss_id")) > u64_order(F.lit(1 << 62))).alias("later")),
@@ -300,6 +301,29 @@ _add("q61_rows_equal", lambda s, d: rows.rows_equal(table(s, d, "customer").sele
      "SELECT c_custkey, c_acctbal >= 0 AS equal FROM customer")
 
 
+def _zero_points(spark: SparkSession, d: str) -> DataFrame:
+    """Zero points looked up by exact time: every second filter letter's exposures are their own calibration."""
+    e = table(spark, d, "exposure").where("mjd_obs > 54000 AND exptime > 0")
+    zps = e.where("filterid < 'i'").groupBy(F.col("mjd_obs").alias("mjd")).agg(
+        F.min(F.col("zpt_ref").cast("double")).alias("ZP"), F.min("filterid").alias("filterid"), F.min(F.col("exptime").cast("double")).alias("exptime"),
+        F.min(F.col("airmass").cast("double") / 200).alias("time_to_bad"), (F.min("m2z") > 0).alias("overlaps"))
+    once = e.groupBy("exp_id").agg(F.min("mjd_obs").alias("mjd_obs"))
+    return aggregate.zero_points(once, zps, "mjd_obs").select("exp_id", F.round("zp", 6).alias("zp"))
+
+
+_add("q64_zero_points", _zero_points,
+     """WITH e AS (SELECT * FROM exposure WHERE mjd_obs > 54000 AND NOT isnan(mjd_obs) AND exptime > 0),
+z AS (SELECT mjd_obs AS mjd, min(CAST(zpt_ref AS DOUBLE)) AS zp, min(filterid) AS f, min(CAST(exptime AS DOUBLE)) AS t, min(CAST(airmass AS DOUBLE) / 200) AS bad, min(m2z) > 0 AS o FROM e WHERE filterid < 'i' GROUP BY 1),
+x AS (SELECT exp_id, min(mjd_obs) AS mjd FROM e GROUP BY 1)
+SELECT exp_id, round(CASE WHEN zp IS NOT NULL AND (bad >= 10 / 1440.0 OR o) THEN zp + 2.5 * coalesce(log10(t / CASE f WHEN 'g.0000' THEN 43 WHEN 'r.0000' THEN 40 END), 0) ELSE CAST('nan' AS DOUBLE) END, 6) AS zp
+FROM x LEFT JOIN z ON z.mjd = x.mjd""")
+_add("q65_run_mjd", lambda s, d: table(s, d, "sdss").select("run", "field", "objid").distinct().select("run", "field", "objid", F.round(registry.run_mjd(F.lit(52000.0) + F.col("run") % 100, F.lit(11), F.col("field"), F.col("objid")), 6).alias("mjd")),
+     "SELECT run, field, objid, round(52000.0 + run % 100 + objid * 0.396 / (360.985647 * 3600.0) + 36 * (field - 11) / 86400.0 - 53.907456 / 2 / 86400.0, 6) AS mjd FROM (SELECT DISTINCT run, field, objid FROM sdss)")
+_add("q66_cells_near_exposures", lambda s, d: associate.cells_near_exposures(table(s, d, "exposure"), "ra", "dec", 1.6))
+_add("q67_survey_quality", lambda s, d: table(s, d, "sdss").groupBy(surveys.survey_quality(F.col("flags"), F.col("flags2"), F.col("resolve_status").cast("int")).alias("good")).agg(F.count(F.lit(1)).alias("n")),
+     "SELECT resolve_status & 256 <> 0 AND flags & 262214 = 0 AND flags2 & 1 = 0 AS good, count(*) AS n FROM sdss GROUP BY 1")
+
+
 # ------------------------------------------------------------------ writes
 def _stored(spark: SparkSession, d: str) -> Database:
     """Customers 1..n in a stored table of a fresh folder beside the checkpoints."""
