@@ -59,7 +59,7 @@ AFTER_NUMBER = [
 FLAT = r"(?i:\b(?:flat|apt\.?|apartment|unit|suite|appartement|appt?\.?|logement)\s+\w+\s*,?\s+)$"
 STREET_ENDS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "steig", "graben", "hafen", "markt", "brücke", "bahnhof", "tor", "kirche", "park", "anger", "mühle")
 BEFORE_NUMBER = (
-    r"\b(?:(?:\p{Lu}\p{L}*\s+)?\p{Lu}[\p{L}\p{M}-]*-?(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|steig|graben)|"
+    r"\b(?:(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|Lange|Kurze|Hohe|Hintere|Vordere)[rsnm]?\s+)?\p{Lu}[\p{L}\p{M}-]*-?(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|steig|graben)|"
     r"(?:Am|An\s+der|Im|Zum|Zur|Alte[rn]?|Neue[rn]?|Obere|Untere)\s+(?:Hafen|Markt|Brücke|Bahnhof|Tor|Ufer|Kirche|Park|Anger|Mühle))\s+$"
 )
 HOUSE_NUMBER = r"\d{1,3}\s?\p{Ll}?(?![\p{L}\d.])"
