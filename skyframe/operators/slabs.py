@@ -134,7 +134,7 @@ def _locate_in_slabs(half: float, chord2: float, two_sided: bool = False, most:
 def near_pairs(df: DataFrame, id_col: str, ra: str, dec: str, radius_arcsec: float) -> DataFrame:
     """All pairs of different ids closer than ``radius_arcsec`` on the sphere: a < b (as signed longs), each pair once.
 
-    Points with unusable coordinates take no part (see sky_points). A tile is 32 region half-widths wide (23" for 1"), so
+    Points with unusable coordinates take no part (see sky_points). A tile is 32 region half-widths wide (45" for 1"), so
     even one that held a third of all rows is only as much work as the pairs in it; it is swept in order of v and only the
     rows within reach are kept in memory. Radius: below seven degrees.
     """
