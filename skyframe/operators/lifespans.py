@@ -163,16 +163,21 @@ def ranked_files(raw: DataFrame) -> DataFrame:
 def alias_table(files: DataFrame) -> DataFrame:
     """hdu, field, canonical, kind: fields with one description belong together; the name in most files is canonical.
 
-    ``kind`` is the widest one seen under any of the names: string, real, integer, boolean, or '' (never typed).
+    ``kind`` is the narrowest that holds every value seen under any of the names: boolean, integer, real, string, or ''
+    (never typed). Booleans beside numbers, and numbers that neither a long nor a double can hold, make it string.
     """
-    seen = files.select("hdu", F.explode("fields").alias("f")).groupBy("hdu", "f.field", "f.note", "f.kind").agg(F.count(F.lit(1)).alias("n"))
+    number = F.when(F.col("f.kind") == "integer", F.col("f.raw").try_cast("bigint").isNotNull()).when(F.col("f.kind") == "real", F.col("f.raw").try_cast("double").isNotNull())
+    kind = F.when((F.col("hdu") == "primary") & ~number, "string").otherwise(F.col("f.kind"))
+    seen = files.select("hdu", F.explode("fields").alias("f")).groupBy("hdu", "f.field", "f.note", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     family = F.when(F.col("note") == "", F.concat(F.lit("="), F.col("field"))).otherwise(F.col("note"))
     per_name = seen.withColumn("family", family).groupBy("hdu", "family", "field").agg(F.sum("n").alias("n"), F.collect_set("kind").alias("kinds"))
     w = Window.partitionBy("hdu", "family")
     kinds = F.array_distinct(F.flatten(F.collect_list("kinds").over(w)))
-    wide = F.lit("")
-    for kind in ("boolean", "integer", "real", "string"):
-        wide = F.when(F.array_contains(kinds, kind), kind).otherwise(wide)
+    has = lambda *names: F.arrays_overlap(kinds, F.array(*[F.lit(n) for n in names]))
+    wide = (
+        F.when(has("string") | has("boolean") & has("integer", "real"), "string")
+        .when(has("real"), "real").when(has("integer"), "integer").when(has("boolean"), "boolean").otherwise("")
+    )
     return per_name.select("hdu", "field", F.min_by("field", F.struct(-F.col("n"), F.col("field"))).over(w).alias("canonical"), wide.alias("kind"))
 
 
@@ -183,8 +188,8 @@ def consistent_table(files: DataFrame, hdu: str = "primary", max_columns: int =
     """All files' primary headers as one wide table, one typed column per canonical field.
 
     The alias table is the schema of the result, so the driver holds it; more than ``max_columns`` names are an error.
-    A value that does not fit the column's type becomes null (``try_cast``); where a file has several names of one
-    column, the first non-null one in name order counts. Column names keep their letter case and are made distinct by a
+    The column's type holds every value, so only empty values become null; where a file has several names of one column,
+    the first non-null one in name order counts. Column names keep their letter case and are made distinct by a
     suffix where two differ in case only.
     """
     aliases = alias_table(files.where(F.col("hdu") == hdu)).limit(max_columns + 1).collect()

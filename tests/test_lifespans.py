@@ -96,3 +96,11 @@ def test_lifespans_and_table(spark):
         assert spans == {("A", 0, 1, 2), ("B", 2, 2, 1), ("A", 3, 3, 1), ("C", 3, 3, 1)}
     table = {r["file_no"]: (r["A"], r["C"]) for r in lifespans.consistent_table(files).collect()}
     assert table == {0: (1.0, None), 1: (2.0, None), 2: (2.5, None), 3: (3.0, True)}
+
+
+def test_no_value_is_lost_where_types_differ(spark):
+    bodies = ["A = T / a\nB = F / b\nC = 1 / c\nD = 1 / d\nE = T / e\nF = 1.5D3 / f", "A = 7 / a\nB = 2.5 / b\nC = 99999999999999999999 / c\nD = 2.5 / d\nE = F / e\nF = 2 / f"]
+    rows = [("s", n, "primary", "f", None, b, None) for n, b in enumerate(bodies)]
+    files = lifespans.ranked_files(spark.createDataFrame(rows, SCHEMA).drop("pos"))
+    table = [tuple(r[c] for c in "ABCDEF") for r in sorted(lifespans.consistent_table(files).collect(), key=lambda r: r["file_no"])]
+    assert table == [("T", "F", "1", 1.0, True, "1.5D3"), ("7", "2.5", "99999999999999999999", 2.5, False, "2")]
