@@ -160,11 +160,37 @@ def ranked_files(raw: DataFrame) -> DataFrame:
     return rank_in_groups(cut(header_files(raw)), KEY, ["file_no"], "pos")
 
 
+#: repeat count and letter of a TFORM code
+CODE = r"^(\d*)([LXBIJKAEDCM])$"
+
+
+def _wide_code(codes: Column) -> Column:
+    """The TFORM code whose type holds the values of all ``codes``: 'string' where there is none, '' for no codes.
+
+    A long beside reals has none, as a double would round it; nor have logicals, texts, bits, complex numbers and arrays of
+    variable length beside anything else. A code alone stays as written.
+    """
+    codes = F.filter(codes, lambda c: c != "")
+    letters = F.array_distinct(F.transform(codes, lambda c: F.regexp_extract(c, CODE, 2)))
+    repeat = F.array_max(F.transform(codes, lambda c: F.coalesce(F.regexp_extract(c, CODE, 1).try_cast("int"), F.lit(1))))
+    array = lambda names: F.array(*[F.lit(n) for n in names])
+    has = lambda names: F.arrays_overlap(letters, array(names))
+    only = lambda names: F.size(F.array_except(letters, array(names))) == 0
+    letter = (
+        F.when(F.size(letters) == 1, F.nullif(F.get(letters, 0), F.lit("")))
+        .when(only("BIJK"), F.when(has("K"), "K").when(has("J"), "J").otherwise("I"))
+        .when(only("BIJED"), F.when(has("JD"), "D").otherwise("E")).when(only("CM"), "M")
+    )
+    mixed = F.coalesce(F.concat(F.when(repeat != 1, repeat.cast("string")).otherwise(""), letter), F.lit("string"))
+    return F.when(F.size(codes) == 0, "").when(F.size(codes) == 1, F.get(codes, 0)).otherwise(mixed)
+
+
 def alias_table(files: DataFrame) -> DataFrame:
     """hdu, field, canonical, kind: fields with one description belong together; the name in most files is canonical.
 
     ``kind`` is the narrowest that holds every value seen under any of the names: boolean, integer, real, string, or ''
-    (never typed). Booleans beside numbers, and numbers that neither a long nor a double can hold, make it string.
+    (never typed). Booleans beside numbers, and numbers that neither a long nor a double can hold, make it string. Of a
+    table's columns it is a TFORM code, or string where no code holds all of them.
     """
     number = F.when(F.col("f.kind") == "integer", F.col("f.raw").try_cast("bigint").isNotNull()).when(F.col("f.kind") == "real", F.col("f.raw").try_cast("double").isNotNull())
     kind = F.when((F.col("hdu") == "primary") & ~number, "string").otherwise(F.col("f.kind"))
@@ -178,27 +204,56 @@ def alias_table(files: DataFrame) -> DataFrame:
         F.when(has("string") | has("boolean") & has("integer", "real"), "string")
         .when(has("real"), "real").when(has("integer"), "integer").when(has("boolean"), "boolean").otherwise("")
     )
+    wide = F.when(F.col("hdu") == "primary", wide).otherwise(_wide_code(kinds))
     return per_name.select("hdu", "field", F.min_by("field", F.struct(-F.col("n"), F.col("field"))).over(w).alias("canonical"), wide.alias("kind"))
 
 
 SPARK_TYPES = {"string": "string", "real": "double", "integer": "bigint", "boolean": "boolean", "": "string"}
 
 
-def consistent_table(files: DataFrame, hdu: str = "primary", max_columns: int = 4000) -> DataFrame:
+def consistent_columns(files: DataFrame) -> DataFrame:
+    """All files' table units: stream, file_no, hdu, smf_fn, loaded_at, columns.
+
+    ``columns`` has a struct(column, kind, name, code, number) per column of the unit, in order of number: the canonical
+    name and its type in all files (of ``alias_table``), then the name, TFORM code and number that the file has.
+    """
+    units = files.where("hdu <> 'primary'")
+    entry = F.struct("field", F.struct(F.col("canonical").alias("column"), "kind"))
+    names = alias_table(units).groupBy("hdu").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
+    known = lambda f: F.col("_names")[f["field"]]
+    column = lambda f: F.struct(f["raw"].cast("int").alias("number"), known(f)["column"].alias("column"), known(f)["kind"].alias("kind"), f["field"].alias("name"), f["kind"].alias("code"))
+    placed = F.transform(F.array_sort(F.transform("fields", column)), lambda c: F.struct(*[c[n].alias(n) for n in ("column", "kind", "name", "code", "number")]))
+    return units.join(F.broadcast(names), "hdu", "left").select("stream", "file_no", "hdu", "smf_fn", "loaded_at", placed.alias("columns"))
+
+
+def all_units(files: DataFrame) -> DataFrame:
+    """Primary headers and table units as one table: a row has the keywords of its header, or the columns of its unit.
+
+    Keywords that are named as ``hdu`` or ``columns`` are have a suffix.
+    """
+    headers = consistent_table(files, taken=("hdu", "columns")).withColumn("hdu", F.lit("primary"))
+    return consistent_columns(files).unionByName(headers, allowMissingColumns=True)
+
+
+def consistent_table(files: DataFrame, hdu: str = "primary", max_columns: int = 4000, taken: tuple[str, ...] = ()) -> DataFrame:
     """All files' primary headers as one wide table, one typed column per canonical field.
 
+    Table units have columns and no values: they are for ``consistent_columns``. Names in ``taken`` are given to no column.
+
     The alias table is the schema of the result, so the driver holds it; more than ``max_columns`` names are an error.
     The column's type holds every value, so only empty values become null; where a file has several names of one column,
     the first non-null one in name order counts. Column names keep their letter case and are made distinct by a
     suffix where two differ in case only.
     """
+    if hdu != "primary":
+        raise ValueError(f"{hdu} is a table unit; its fields have no values")
     aliases = alias_table(files.where(F.col("hdu") == hdu)).limit(max_columns + 1).collect()
     if len(aliases) > max_columns:
         raise ValueError(f"more than {max_columns} field names")
     groups: dict[str, list] = {}
     for row in sorted(aliases, key=lambda r: (r["canonical"], r["field"])):
         groups.setdefault(row["canonical"], []).append(row)
-    columns, taken = [], {"stream", "file_no", "smf_fn", "loaded_at"}
+    columns, taken = [], {"stream", "file_no", "smf_fn", "loaded_at", *taken}
     for canonical, rows in groups.items():
         to = SPARK_TYPES[rows[0]["kind"]]
         values = [F.col("_cards")[r["field"]] for r in rows]

@@ -20,8 +20,8 @@ def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """All primary headers as one table, typed by the alias table."""
-    return lifespans.consistent_table(cut(lifespans.header_files(table(spark, d, "smf_raw"))))
+    """All primary headers and .psf units as one table, typed by the alias table."""
+    return lifespans.all_units(cut(lifespans.header_files(table(spark, d, "smf_raw"))))
 
 
 def p1_aliases(spark: SparkSession, d: str) -> DataFrame:

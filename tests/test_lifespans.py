@@ -104,3 +104,17 @@ def test_no_value_is_lost_where_types_differ(spark):
     files = lifespans.ranked_files(spark.createDataFrame(rows, SCHEMA).drop("pos"))
     table = [tuple(r[c] for c in "ABCDEF") for r in sorted(lifespans.consistent_table(files).collect(), key=lambda r: r["file_no"])]
     assert table == [("T", "F", "1", 1.0, True, "1.5D3"), ("7", "2.5", "99999999999999999999", 2.5, False, "2")]
+
+
+def test_table_units_come_with_the_type_of_all_files(spark):
+    codes = [("J", "J", "J"), ("I", "J", "J"), ("B", "E", "E"), ("J", "E", "D"), ("K", "D", "string"), ("L", "J", "string"), ("1J", "J", "J"), ("8A", "16A", "16A"), ("3E", "D", "3D"), ("PE(9)", "PE(9)", "PE(9)"), ("PE(9)", "PE(8)", "string"), ("C", "M", "M")]
+    unit = lambda k: "\n".join(f"TTYPE{i} = 'c{i}{'x' * k}' / note {i}\nTFORM{i} = '{c[k]}'" for i, c in enumerate(codes, 1))
+    bodies = [("primary", 0, "A = 1 / one\nHDU = 5 / key"), ("primary", 1, "A = 2 / one"), ("XY33.psf", 0, unit(0)), ("XY33.psf", 1, unit(1)), ("XY33.psf", 2, "TFIELDS = 0")]
+    rows = [("s", n, h, "f", None, b, None) for h, n, b in bodies]
+    files = lifespans.ranked_files(spark.createDataFrame(rows, SCHEMA).drop("pos"))
+    got = {(r["hdu"], r["file_no"]): r for r in lifespans.all_units(files).collect()}
+    assert set(got) == {(h, n) for h, n, _ in bodies}
+    assert (got["primary", 0]["A"], got["primary", 1]["A"], got["primary", 0]["HDU_"], got["primary", 0]["columns"]) == (1, 2, 5, None)
+    for k in (0, 1):
+        assert [tuple(c) for c in got["XY33.psf", k]["columns"]] == [(f"c{i}", c[2], f"c{i}{'x' * k}", c[k], i) for i, c in enumerate(codes, 1)]
+    assert got["XY33.psf", 2]["columns"] == [] and got["XY33.psf", 1]["A"] is None
