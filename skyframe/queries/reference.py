@@ -238,6 +238,8 @@ _add("q34_value_counts", lambda s, d: aggregate.value_counts(table(s, d, "sdss")
 _add("q35_distinct_diff", lambda s, d: aggregate.new_values(table(s, d, "orders"), "o_orderkey", table(s, d, "lineitem"), "l_orderkey"), "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 _add("q36_collect_list", lambda s, d: aggregate.lists_by_key(table(s, d, "lineitem").where("l_suppkey % 2 = 1"), "l_orderkey", "l_linenumber", "lines").select("l_orderkey", F.array_join("lines", ",").alias("lines")),
      "SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS lines FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1")
+_add("q36_collect_all", lambda s, d: aggregate.lists_by_key(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", "lines").select("l_orderkey", F.array_join("lines", ",").alias("lines")),
+     "SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS lines FROM lineitem GROUP BY 1")
 
 
 def _photometry(s: SparkSession, d: str) -> DataFrame:
