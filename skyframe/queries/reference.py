@@ -362,7 +362,15 @@ def _insert_at(spark: SparkSession, d: str) -> DataFrame:
     return db.read("marks").select("custkey", F.col("id").alias("id"))
 
 
+def _insert_all_at(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer at a given id."""
+    db = _stored(spark, d)
+    db.query("lon, lat, c_custkey + 0 AS custkey FROM customer INTO marks AT c_custkey * 4294967296 + 7").write()
+    return db.read("marks").select("custkey", "id")
+
+
 _add("q44_insert_at", _insert_at, "SELECT c_custkey AS custkey, c_custkey * 4294967296 + 7 AS id FROM customer WHERE c_custkey < 50")
+_add("q44_insert_all_at", _insert_all_at, "SELECT c_custkey AS custkey, c_custkey * 4294967296 + 7 AS id FROM customer")
 
 
 def _as_of(spark: SparkSession, d: str) -> DataFrame:
