@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions import sky
+from skyframe.functions import borders, sky
 from skyframe.plans import joins
 from skyframe.plans.bounds import Bounds, make_canonical
 from skyframe.plans.expr import Translator
@@ -174,11 +174,16 @@ class BoundQuery:
         return placed.withColumn("_ROWIDX", F.col("_ROWNUM")).withColumn("_ROWID", sky.id_in_cell(F.col("_CELLID"), F.col("_ROWNUM")))
 
     def _with_halo(self, df: DataFrame, lon: Column, lat: Column, level: int, margin: float = 30 / 3600) -> DataFrame:
-        """Rows of the border zone once more per neighbouring cell. Eight points on a circle around a row tell which."""
+        """Rows of the border zone once more per neighbouring cell.
+
+        Sixteen points on a circle of twice the margin hit every cell within the margin (corners of cells are wider than 50
+        degrees, and at this distance those show more than 22.5 degrees of the circle); the distance to its border decides.
+        """
         time = F.col("_CELLID").bitwiseAND(F.lit(0xFFF << 32))
         own = sky.static_cell(F.col("_CELLID"))
-        others = F.array_distinct(F.filter(sky.cells_around(lon, lat, sky.circle(margin), level), lambda c: c != own))
-        halo = df.withColumn("__c", F.explode(others)).withColumn("_CELLID", F.col("__c").bitwiseOR(time)).drop("__c")
+        others = F.array_distinct(F.filter(sky.cells_around(lon, lat, sky.circle(2 * margin, 16), level), lambda c: c != own))
+        halo = df.withColumn("__c", F.explode(others)).where(borders.within(lon, lat, F.col("__c"), level, margin))
+        halo = halo.withColumn("_CELLID", F.col("__c").bitwiseOR(time)).drop("__c")
         return df.withColumn("_CACHED", F.lit(False)).unionByName(halo.withColumn("_CACHED", F.lit(True)))
 
     # -------------------------------------------------------------- select and where
