@@ -105,22 +105,35 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (h)
 
 
 # ---------------------------------------------------------------- p9
-def _spans(spark: SparkSession, d: str) -> DataFrame:
+def _spans(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    """The lists are fixed tables of 180 and 37 rows; larger ones are refused rather than sent to every task."""
     members = table(spark, d, "parliament_member").select("given_name", "family_name", "party").limit(100_001).collect()
     given = table(spark, d, "given_name").select("name").limit(100_001).collect()
     if max(len(members), len(given)) > 100_000:
         raise ValueError("the lists of public persons and given names must be small")
-    return privacy.personal_spans(table(spark, d, "documents"), "doc_id", "text", [tuple(r) for r in members], [r["name"] for r in given])
+    docs = table(spark, d, "documents") if docs is None else docs
+    return privacy.personal_spans(docs, "doc_id", "text", [tuple(r) for r in members], [r["name"] for r in given])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select("doc_id", "kind", "start_pos").distinct()
 
 
+def _one_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each document once; of different texts under one id the greatest, so that spans and text belong together."""
+    return table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with placeholders."""
-    docs = table(spark, d, "documents").dropDuplicates(["doc_id"])
-    return privacy.redact(docs, "doc_id", "text", _spans(spark, d))
+    docs = _one_text(spark, d)
+    return privacy.redact(docs, "doc_id", "text", _spans(spark, d, docs))
+
+
+def p9_generalised(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders for what discloses eight bits or more, and names, numbers and places below that generalised."""
+    docs = _one_text(spark, d)
+    return privacy.redact(docs, "doc_id", "text", _spans(spark, d, docs), remove=8.0)
 
 
 def queries() -> dict:
@@ -128,7 +141,7 @@ def queries() -> dict:
         "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_days_combined": p4_days_combined,
         "p7_packing": p7_packing, "p7_fill": p7_fill,
         "p8_found": p8_found, "p8_fuzzy": p8_fuzzy,
-        "p9_found": p9_found, "p9_redacted": p9_redacted,
+        "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_generalised": p9_generalised,
     }
 
 
