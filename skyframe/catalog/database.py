@@ -224,12 +224,23 @@ class Database:
                 return t.append(df, self.pending)
             return t.upsert(df, on or t.schema.primary_key, self.pending, insert=mode == "upsert")
 
-    def read(self, table: str, bounds=None) -> DataFrame:
+    def remove(self, table: str, keys: DataFrame) -> None:
+        """Take the rows with these primary keys out of a stored table; older snapshots keep them."""
+        t = self.table(table)
+        if not isinstance(t, Table):
+            raise CatalogError(f"{table} is a registered frame")
+        with self.transaction():
+            self._touched.add(table)
+            t.remove(keys, self.pending)
+
+    def read(self, table: str, bounds=None, cells: list[tuple[int, int]] | None = None, with_cell: bool = False) -> DataFrame:
+        """The table's rows. Of a stored table only cells that can meet ``bounds`` are opened, and of ``cells`` (pixel, slice)
+        only those; ``with_cell`` adds _CELL and _T."""
         from skyframe.plans.bounds import make_canonical
 
         t = self.table(table)
         if isinstance(t, Table):
-            return t.read(make_canonical(bounds) if isinstance(bounds, (list, tuple)) else bounds, self.pending)
+            return t.read(make_canonical(bounds) if isinstance(bounds, (list, tuple)) else bounds, self.pending, cells, with_cell)
         return t.read()
 
     # -------------------------------------------------------------- files

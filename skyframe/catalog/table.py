@@ -1,7 +1,8 @@
 """A stored table: schema with keys, cells, snapshots, appends and upserts.
 
-Layout: schema.json; data/<snapshot>/_CELL=../_T=../part files; cells/<snapshot> (one row per cell: where its newest rows
-are, how many, and the highest index used) with a COMMITTED mark. A snapshot rewrites only the cells it touches.
+Layout: schema.json; data/_SNAP=<snapshot>/_CELL=../_T=../part files; cells/<snapshot> (one row per cell: where its newest
+rows are, how many, and the highest index used) with a COMMITTED mark. A snapshot rewrites only the cells it touches. A read
+opens the folders of the live cells it needs, by name where they are few, else in one scan beside the list of live cells.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from skyframe.session import cut
 from skyframe.types import dtype_of, spark_type, string_width, zero
 
 CELL_SCHEMA = "cell long, t long, snapid string, nrows long, top long"
+#: Up to so many cells a read names its folders one by one (and so lists no others).
+NAMED_CELLS = 4096
 
 
 class CatalogError(ValueError):
@@ -105,6 +108,10 @@ class Frame:
     def read(self, bounds=None) -> DataFrame:
         return self.df
 
+    def key_cell(self, key: Column) -> None:
+        """Rows of a frame lie in no cells."""
+        return None
+
 
 class Table:
     """One stored table of a database root. Writing goes through Database transactions."""
@@ -130,7 +137,7 @@ class Table:
     # -------------------------------------------------------------- snapshots
     def snapshots(self) -> list[tuple[str, bool]]:
         """(snapshot id, whether committed), oldest first."""
-        ids = sorted({n.split("-")[0] for n in self.folder.names("data")} | set(self.folder.names("cells")))
+        ids = sorted({n.removeprefix("_SNAP=").split("-")[0] for n in self.folder.names("data")} | set(self.folder.names("cells")))
         return [(i, self.folder.exists(f"cells/{i}/COMMITTED")) for i in ids]
 
     def current(self, pending: str | None = None) -> str | None:
@@ -167,7 +174,7 @@ class Table:
         now = self.current()
         if now is None:
             return
-        rows = self._stored(with_snap=True)
+        rows = self._stored()
         top = F.max(q(self.schema.primary_key).bitwiseAND(F.lit(sky.OBJECT_BITS))) if self.schema.primary_key else F.max(F.lit(0))
         fresh = rows.groupBy(F.col("_CELL").alias("cell"), F.col("_T").alias("t"), F.col("_SNAP").alias("snapid")).agg(F.count(F.lit(1)).alias("nrows"), top.cast("long").alias("top"))
         fresh.coalesce(1).write.mode("overwrite").parquet(self.folder.at(f"cells/{now}/rows-new"))
@@ -186,38 +193,52 @@ class Table:
         fields = [T.StructField(c, spark_type(k) if not k.startswith("[") else _array_type(k)) for c, k in self.schema.columns().items()]
         return T.StructType([*fields, T.StructField("_CELL", T.LongType()), T.StructField("_T", T.LongType())])
 
-    def _stored(self, bounds=None, pending: str | None = None, with_snap: bool = False) -> DataFrame:
-        """Newest rows with _CELL and _T. Cells outside ``bounds`` are pruned by partition, older versions of a cell by the
-        catalogue: per snapshot a semi-join of the partition columns, which prunes its files dynamically."""
-        cells = self.cells(pending)
-        keep = None
+    def _stored(self, bounds=None, pending: str | None = None, touched: DataFrame | None = None, cells: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Newest rows with _SNAP, _CELL and _T.
+
+        Only the folders of live cells are opened that can meet ``bounds``, are in ``touched`` (_CELL, _T) and in ``cells``
+        (pixel, slice). Up to NAMED_CELLS of them are named, with a partition filter besides; beyond that one scan of the
+        live snapshots is semi-joined with the list of live cells, which prunes its partitions dynamically.
+        """
+        live = self.cells(pending)
         if bounds is not None and (found := bounds.static_pixels(self.schema.level)) is not None:
-            keep = found[0]
-            cells = cells.where(F.col("cell").isin(keep)) if keep else cells.where("false")
+            live = live.where(F.col("cell").isin(found[0])) if found[0] else live.where("false")
         if bounds is not None and self.schema.temporal_key and not bounds.cells and all(i is not None for _, i in bounds.parts):
             spans = [(p[0], p[1]) for _, i in bounds.parts for p in i]
             start = F.col("t") * self.schema.dt + self.schema.t0
             hit = F.col("t") == 0
             for a, b in spans:
                 hit = hit | ((start + self.schema.dt > F.lit(a)) & (start <= F.lit(b)))
-            cells = cells.where(hit)
-        snaps = [r["snapid"] for r in cells.select("snapid").distinct().collect()]
-        out = None
-        for s in sorted(snaps):
-            rows = self.spark.read.schema(self._data_schema()).parquet(self.folder.at(f"data/{s}"))
-            if keep is not None:
-                rows = rows.where(F.col("_CELL").isin(keep))
-            mine = cells.where(F.col("snapid") == s).select(F.col("cell").alias("_pixel"), F.col("t").alias("_slice"))
-            rows = rows.join(mine, (F.col("_CELL") == F.col("_pixel")) & (F.col("_T") == F.col("_slice")), "left_semi")
-            rows = rows.withColumn("_SNAP", F.lit(s)) if with_snap else rows
-            out = rows if out is None else out.unionByName(rows)
-        if out is None:
-            out = self.spark.createDataFrame([], T.StructType([*self._data_schema().fields, *([T.StructField("_SNAP", T.StringType())] if with_snap else [])]))
-        return out
-
-    def read(self, bounds=None, pending: str | None = None) -> DataFrame:
-        """The table's columns."""
-        return self._filled(self._stored(bounds, pending)).select(*[q(c) for c in self.schema.columns()])
+            live = live.where(hit)
+        if touched is not None:
+            these = touched.select(F.col("_CELL").alias("_pixel"), F.col("_T").alias("_slice")).distinct()
+            live = live.join(these, (F.col("cell") == F.col("_pixel")) & (F.col("t") == F.col("_slice")), "left_semi")
+        if cells is not None:
+            wanted = [(F.col("cell") == c) & (F.col("t") == s) for c, s in cells]
+            live = live.where(_any(wanted))
+        schema = T.StructType([*self._data_schema().fields, T.StructField("_SNAP", T.StringType())])
+        named = live.select("snapid", "cell", "t").limit(NAMED_CELLS + 1).collect()
+        if not named:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", self.folder.at("data"))
+        if len(named) <= NAMED_CELLS:
+            rows = reader.parquet(*sorted(self.folder.at(f"data/_SNAP={r['snapid']}/_CELL={r['cell']}/_T={r['t']}") for r in named))
+            return rows.where(F.col("_CELL").isin(sorted({r["cell"] for r in named})))
+        snaps = sorted(r["snapid"] for r in live.select("snapid").distinct().collect())
+        rows = reader.parquet(*[self.folder.at(f"data/_SNAP={s}") for s in snaps])
+        mine = live.select(F.col("snapid").alias("_of"), F.col("cell").alias("_pixel"), F.col("t").alias("_slice"))
+        return rows.join(mine, (F.col("_SNAP") == F.col("_of")) & (F.col("_CELL") == F.col("_pixel")) & (F.col("_T") == F.col("_slice")), "left_semi")
+
+    def read(self, bounds=None, pending: str | None = None, cells: list[tuple[int, int]] | None = None, with_cell: bool = False) -> DataFrame:
+        """The table's columns; ``with_cell``: and _CELL and _T."""
+        return self._filled(self._stored(bounds, pending, cells=cells)).select(*[q(c) for c in self.schema.columns()], *(["_CELL", "_T"] if with_cell else []))
+
+    def key_cell(self, key: Column) -> tuple[Column, Column] | None:
+        """_CELL and _T of the row with this primary key; None if rows have no keys. A key that is set says where its row is."""
+        if not self.schema.primary_key:
+            return None
+        full = sky.cell_of_id(key, self.schema.level)
+        return sky.static_cell(full), _slice(full)
 
     def _filled(self, df: DataFrame) -> DataFrame:
         """Zeros in the columns of later groups, which older files lack (the first group's stay bare for pushed filters)."""
@@ -238,7 +259,7 @@ class Table:
         place = sky.position_id(lon, lat, t, t0=self.schema.t0, dt=self.schema.dt) if lon is not None else F.lit(0).cast("long")
         key = q(self.schema.primary_key) if self.schema.primary_key else F.lit(0)
         full = sky.cell_of_id(F.when((key == 0) | key.isNull(), place).otherwise(key), self.schema.level)
-        return df.withColumn("_place", place).withColumn("_CELL", sky.static_cell(full)).withColumn("_T", F.shiftrightunsigned(full, 32).bitwiseAND(F.lit(0xFFF)).cast("long"))
+        return df.withColumn("_place", place).withColumn("_CELL", sky.static_cell(full)).withColumn("_T", _slice(full))
 
     def _conform(self, df: DataFrame) -> DataFrame:
         """All columns in order and type; absent ones and nulls are zero, text is cut to its width."""
@@ -274,30 +295,38 @@ class Table:
         return new.unionByName(placed.where((q(key) != 0) & q(key).isNotNull())).drop("_place", "_row")
 
     def append(self, df: DataFrame, snapid: str) -> DataFrame:
-        """Add rows; returns the keys they got. Keys that are given must be new."""
+        """Add rows; returns the keys they got. Keys that are given must be new; they are looked for in their own cells."""
         self._check_columns(df)
         rows = cut(self._with_ids(self._conform(df), snapid))
         key = self.schema.primary_key
         if key:
             if rows.groupBy(q(key)).count().where("count > 1").limit(1).count():
                 raise CatalogError("keys are not unique")
-            given = rows.join(self.read(pending=snapid).select(q(key).alias("_old")), q(key) == F.col("_old"), "left_semi")
-            if given.limit(1).count():
+            there = self._stored(pending=snapid, touched=rows).select(q(key).alias("_old"))
+            if rows.join(there, q(key) == F.col("_old"), "left_semi").limit(1).count():
                 raise CatalogError("keys exist already; use an update")
-        self._replace(rows, snapid, keep=True)
+        self._replace(rows, snapid)
         return rows.select(q(key)) if key else rows.limit(0)
 
     def upsert(self, df: DataFrame, on: str, snapid: str, insert: bool = True) -> DataFrame:
         """Rows of ``df`` overwrite those with the same ``on`` in the given columns only; others are added if ``insert``.
 
         Keys must be unique in ``df``, and in the stored rows they match. Returns the primary keys of the rows written.
+        By primary key only the cells of the given keys are opened. By another column, that column alone is read of all
+        cells to see which cells hold matches; of those cells the rows are read.
         """
         self._check_columns(df)
         if df.groupBy(q(on)).count().where("count > 1").limit(1).count():
             raise CatalogError(f"{on} is not unique in the rows to write")
         key = self.schema.primary_key or on
         new = cut(df)
-        old = self._filled(self._stored(pending=snapid))
+        if on == self.schema.primary_key:
+            spot = self.key_cell(q(on))
+            near = new.where(q(on).isNotNull()).select(spot[0].alias("_CELL"), spot[1].alias("_T"))
+        else:
+            near = self._stored(pending=snapid).select(q(on).alias("_old"), "_CELL", "_T").join(new.select(q(on).alias("_on")), F.col("_old") == F.col("_on"), "left_semi")
+        near = cut(near.select("_CELL", "_T").distinct())
+        old = self._filled(self._stored(pending=snapid, touched=near))
         given = [c for c in new.columns if c != on]
         renamed = new.select(q(on).alias("_on"), *[q(c).alias(f"_new_{c}") for c in given])
         met = old.join(renamed, q(on) == F.col("_on"))
@@ -309,36 +338,51 @@ class Table:
         if insert:
             fresh = new.join(old.select(q(on).alias("_old")), q(on) == F.col("_old"), "left_anti")
             written = fixed.unionByName(cut(self._with_ids(self._conform(fresh), snapid)))
-        self._replace(written, snapid, keep=True, key=key)
+        self._replace(written, snapid, key=key, near=near)
         return written.select(q(key))
 
+    def remove(self, keys: DataFrame, snapid: str) -> None:
+        """Take out the rows whose primary key is in ``keys`` (one column of that name). Unknown keys are passed over."""
+        key = self.schema.primary_key
+        if not key:
+            raise CatalogError("rows without a key cannot be removed")
+        gone = cut(keys.select(q(key)).where(q(key).isNotNull()).distinct())
+        spot = self.key_cell(q(key))
+        near = cut(gone.select(spot[0].alias("_CELL"), spot[1].alias("_T")).distinct())
+        nothing = self.spark.createDataFrame([], self._data_schema())
+        self._replace(nothing, snapid, key=key, near=near, gone=gone)
+
     def _check_columns(self, df: DataFrame) -> None:
         unknown = [c for c in df.columns if c not in self.schema.columns()]
         if unknown:
             raise CatalogError(f"no such columns: {unknown}")
 
-    def _replace(self, rows: DataFrame, snapid: str, keep: bool, key: str | None = None) -> None:
-        """Write the touched cells anew into the snapshot: their old rows (but those in ``rows`` by ``key``) and ``rows``."""
+    def _replace(self, rows: DataFrame, snapid: str, key: str | None = None, near: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Write the touched cells anew into the snapshot: their old rows and ``rows``.
+
+        Touched: the cells of ``rows`` and, with ``key``, those of ``near`` in which an old row has a key that is in
+        ``rows`` or ``gone`` (these old rows are left out).
+        """
         before = cut(self.cells(snapid))
         touched = rows.select("_CELL", "_T").distinct()
-        if keep:
-            old = self._stored(pending=snapid)
-            if key:
-                again = rows.select(q(key).alias("_k"), F.col("_CELL").alias("_pixel"), F.col("_T").alias("_slice"))
-                moved = old.join(again, q(key) == F.col("_k"), "left_semi").select("_CELL", "_T")
-                touched = touched.unionByName(moved).distinct()
-                old = old.join(again.select("_k"), q(key) == F.col("_k"), "left_anti")
-            touched = cut(touched)
-            cells = touched.select(F.col("_CELL").alias("_pixel"), F.col("_T").alias("_slice"))
-            old = old.join(cells, (F.col("_CELL") == F.col("_pixel")) & (F.col("_T") == F.col("_slice")), "left_semi")
-            rows = old.unionByName(rows.select(*old.columns))
-        aside = f"data/{snapid}-{len(self.folder.names('data'))}"
+        if key:
+            again = (gone if gone is not None else rows).select(q(key).alias("_k"))
+            old = self._stored(pending=snapid, touched=near)
+            moved = old.join(again, q(key) == F.col("_k"), "left_semi").select("_CELL", "_T")
+            touched = touched.unionByName(moved).distinct()
+        touched = cut(touched)
+        old = self._stored(pending=snapid, touched=touched)
+        if key:
+            old = old.join(again, q(key) == F.col("_k"), "left_anti")
+        old = old.drop("_SNAP")
+        rows = old.unionByName(rows.select(*old.columns))
+        aside = f"data/_SNAP={snapid}-{len(self.folder.names('data'))}"
         # one file per small cell; adaptive execution splits a cell with most of the rows over several tasks and files
         rows.hint("rebalance", "_CELL", "_T").write.partitionBy("_CELL", "_T").parquet(self.folder.at(aside))
         self._adopt(aside, snapid, before, touched)
 
     def _adopt(self, aside: str, snapid: str, before: DataFrame, touched: DataFrame) -> None:
-        name = aside.split("/")[-1]
+        name = aside.rpartition("=")[2]
         written = self.spark.read.schema(self._data_schema()).parquet(self.folder.at(aside)) if self.folder.names(aside) != ["_SUCCESS"] else self.spark.createDataFrame([], self._data_schema())
         key = self.schema.primary_key
         top = F.max(q(key).bitwiseAND(F.lit(sky.OBJECT_BITS))).cast("long") if key else F.lit(0).cast("long")
@@ -356,7 +400,7 @@ class Table:
 
     def rollback(self, snapid: str) -> None:
         for n in self.folder.names("data"):
-            if n.startswith(snapid):
+            if n.removeprefix("_SNAP=").startswith(snapid):
                 self.folder.delete(f"data/{n}")
         self.folder.delete(f"cells/{snapid}")
 
@@ -377,3 +421,15 @@ def _array_type(k: str) -> T.DataType:
     for _ in range(int(depth)):
         kind = T.ArrayType(kind)
     return kind
+
+
+def _slice(cell: Column) -> Column:
+    """Time slice of a cell or row id."""
+    return F.shiftrightunsigned(cell, 32).bitwiseAND(F.lit(0xFFF)).cast("long")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out

@@ -237,6 +237,16 @@ def T(*args) -> IntervalSet:  # noqa: N802  the name users type
     return IntervalSet(*[tuple(a) if np.ndim(a) else (a, a) for a in args])
 
 
+class Padded(Region):
+    """Where a point within ``margin`` degrees of the region can lie; for pruning only."""
+
+    def __init__(self, region: Region, margin: float):
+        self.region, self.margin = region, margin
+
+    def near(self, lon, lat, margin):
+        return self.region.near(lon, lat, margin + self.margin)
+
+
 class Bounds:
     """Alternatives (regions, times) and whole cells; a row is in if any alternative holds it, or its cell is listed."""
 
@@ -276,6 +286,14 @@ class Bounds:
             touched.add(c & mask)
         return sorted(touched), sorted(whole)
 
+    def padded(self, margin: float | None, times: bool) -> Bounds | None:
+        """What a joined table can be pruned by: its rows lie within ``margin`` degrees of a row in bounds (None: anywhere),
+        and, with ``times``, within the intervals. None: no restriction."""
+        if self.cells:
+            return None
+        wide = lambda r: r if isinstance(r, AllSky) else Padded(r, margin)
+        return Bounds([([ALLSKY] if margin is None else [wide(r) for r in regions], i if times else None) for regions, i in self.parts], [])
+
     def time_overlaps(self, low: float, high: float) -> bool:
         return any(i is None or i.overlaps(low, high) for _, i in self.parts) or bool(self.cells)
 

@@ -20,6 +20,15 @@ from skyframe.plans.parser import QueryError
 FLOATS = (T.FloatType, T.DoubleType)
 
 
+def _is_truth(n: ast.expr) -> bool:
+    """Whether an expression is true or false by its form."""
+    if isinstance(n, ast.BinOp):
+        return isinstance(n.op, (ast.BitAnd, ast.BitOr)) and _is_truth(n.left) and _is_truth(n.right)
+    if isinstance(n, ast.UnaryOp):
+        return isinstance(n.op, ast.Not) or isinstance(n.op, ast.Invert) and _is_truth(n.operand)
+    return isinstance(n, (ast.Compare, ast.BoolOp)) or isinstance(n, ast.Call) and ast.unparse(n.func).rpartition(".")[2] in ("in1d", "isin")
+
+
 class Lookup:
     """In-query map: ``table`` (DataFrame or dict) by ``key`` to ``values``; what is not there is ``missing`` (zero)."""
 
@@ -67,6 +76,18 @@ class Translator:
             return F.lit(value)
         raise QueryError(f"{ast.unparse(tree)} is not a column")
 
+    def conditions(self, tree: ast.expr) -> list[Column]:
+        """A WHERE clause as conditions that must all be true (null is not), as plain as they can be."""
+        if isinstance(tree, ast.BoolOp) and isinstance(tree.op, ast.And):
+            return [c for v in tree.values for c in self.conditions(v)]
+        if isinstance(tree, ast.BinOp) and isinstance(tree.op, ast.BitAnd) and _is_truth(tree):
+            return self.conditions(tree.left) + self.conditions(tree.right)
+        if isinstance(tree, ast.Compare) and len(tree.ops) == 1 and type(tree.ops[0]) not in (ast.In, ast.NotIn):
+            plain, extra = self._comparison(tree)
+            if type(tree.ops[0]) is not ast.NotEq:
+                return [plain, *[~bad for bad in extra]]
+        return [self.column(tree).cast("boolean")]
+
     def visit(self, node: ast.expr):
         f = getattr(self, f"_{type(node).__name__}", None)
         if f is None:
@@ -173,15 +194,27 @@ class Translator:
         if op in (ast.In, ast.NotIn):
             hit = self._among(a, b)
             return hit if op is ast.In else ~hit
+        plain, nans = self._comparison(n)
+        for bad in nans:
+            plain = (plain | bad) if op is ast.NotEq else (plain & ~bad)
+        return plain
+
+    def _comparison(self, n: ast.Compare) -> tuple[Column, list[Column]]:
+        """Spark's comparison, and the tests for NaN it needs: Spark orders NaN above all and equal to itself, here it is
+        neither. Where the other side is a number, a NaN is already below or equal to nothing."""
+        a, b, op = self.visit(n.left), self.visit(n.comparators[0]), type(n.ops[0])
+        fixed = [not isinstance(x, Column) and x == x for x in (a, b)]
         a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
         ka, kb = self._both(a, b)
         plain = {ast.Eq: a == b, ast.NotEq: a != b, ast.Lt: a < b, ast.LtE: a <= b, ast.Gt: a > b, ast.GtE: a >= b}.get(op)
         if plain is None:
             raise QueryError(f"comparison not supported: {ast.unparse(n)}")
-        nans = [F.isnan(x) for x, k in ((a, ka), (b, kb)) if isinstance(k, FLOATS)]
-        for bad in nans:
-            plain = (plain | bad) if op is ast.NotEq else (plain & ~bad)
-        return plain
+        fa, fb = (isinstance(k, FLOATS) and not f for k, f in zip((ka, kb), fixed))
+        if op in (ast.Gt, ast.GtE):
+            return plain, [F.isnan(a)] if fa else []
+        if op in (ast.Lt, ast.LtE):
+            return plain, [F.isnan(b)] if fb else []
+        return plain, [F.isnan(a)] if fa and fb else []
 
     def _IfExp(self, n: ast.IfExp):
         return F.when(self.column(n.test), self.column(n.body)).otherwise(self.column(n.orelse))
@@ -197,7 +230,8 @@ class Translator:
         if not isinstance(values, (list, tuple, set)):
             raise QueryError("in needs a list of values")
         c = a if isinstance(a, Column) else F.lit(a)
-        return F.coalesce(c.isin(list(values)), F.lit(False))
+        known = [v for v in values if v is not None]
+        return c.isNotNull() & c.isin(known) if known else F.lit(False)
 
     # -------------------------------------------------------------- calls
     def _Call(self, n: ast.Call):

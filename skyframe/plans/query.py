@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions import borders, sky
+from skyframe.catalog.table import Table
+from skyframe.functions import borders, pixels, sky
 from skyframe.plans import joins
 from skyframe.plans.bounds import Bounds, make_canonical
 from skyframe.plans.expr import Translator
@@ -66,8 +67,14 @@ class BoundQuery:
         return False
 
     # -------------------------------------------------------------- plan
-    def _frame(self, s: Source, bounds: Bounds | None) -> DataFrame:
-        df = self.db.read(s.table, bounds)
+    def _frame(self, s: Source, bounds: Bounds | None, cells: list[int] | None = None, near: bool = False, with_cell: bool = False) -> DataFrame:
+        spots = None
+        if cells and isinstance(self.tables[s.name], Table):
+            spots = [(c & ~(0xFFF << 32), (c >> 32) & 0xFFF) for c in map(int, cells)]
+            if near:
+                beside = pixels.adjacency(self.tables[s.name].schema.level)
+                spots = sorted({(o, t) for c, t in spots for o in (c, *beside.get(c, ()))})
+        df = self.db.read(s.table, bounds, spots, with_cell)
         return df.select(*[q(c).alias(f"{s.name}.{c}") for c in df.columns])
 
     def _key(self, name: str, what: str = "primary_key") -> str:
@@ -77,30 +84,40 @@ class BoundQuery:
             raise QueryError(f"table {name} has no {what}")
         return value
 
-    def _joined(self, bounds: Bounds | None, compat_nulls: bool) -> tuple[DataFrame, str]:
+    def _joined(self, bounds: Bounds | None, compat_nulls: bool, cells: list[int] | None = None, near: bool = False, exact: bool = True) -> tuple[DataFrame, str]:
+        """The join tree as one plan. A table matched by position is pruned to the bounds and the reach of the match; every
+        table that must be there to the intervals; one joined by key to the cells of the keys (as partitions of the join)."""
         root, order = self.tree()
         sources = {s.name: s for s in self.query.sources}
-        df = self._frame(sources[root], bounds).withColumn(f"{root}._ISNULL", F.lit(False))
+        df = self._frame(sources[root], bounds, cells, near).withColumn(f"{root}._ISNULL", F.lit(False))
+        # degrees that a table's rows can lie from a row in bounds; untested rows of a touched cell reach one pixel farther
+        reach: dict[str, float | None] = {root: 0.0 if exact else 2 * pixels.pixel_radius(self.tables[root].schema.level)}
         for parent, child, d in order:
             s = sources[child]
-            right = self._frame(s, None)
-            a = lambda c: f"{parent}.{c}"  # noqa: E731, B023
-            b = lambda c: f"{child}.{c}"  # noqa: E731, B023
             kind = {**d, **{k: v for k, v in s.args.items() if k in ("nmax", "dmax")}}
             outer = s.optional or (kind.get("outer", False) and "inner" not in s.args)
-            if kind["type"] == "xmatch":
+            matched = kind["type"] == "xmatch"
+            reach[child] = reach[parent] + float(kind.get("dmax", 1.0)) / 3600 if matched and reach[parent] is not None else None
+            limits = bounds.padded(reach[child], times=not outer) if bounds is not None and not near else None
+            stored = isinstance(self.tables[child], Table)
+            right = self._frame(s, limits, with_cell=stored)
+            a = lambda c: f"{parent}.{c}"  # noqa: E731, B023
+            b = lambda c: f"{child}.{c}"  # noqa: E731, B023
+            place = self.tables[child].key_cell if stored and self.tables[child].schema.primary_key else None
+            if matched:
                 pos = lambda n, f: tuple(f(c) for c in self._key(n, "spatial_keys"))
-                df = joins.crossmatch(df, a(self._key(parent)), pos(parent, a), right, b(self._key(child)), pos(child, b), int(kind.get("nmax", 1)), float(kind.get("dmax", 1.0)), outer, f"{child}.")
+                df = joins.crossmatch(df, a(self._key(parent)), pos(parent, a), right, b(self._key(child)), pos(child, b), int(kind.get("nmax", 1)), float(kind.get("dmax", 1.0)), outer, f"{child}.", place)
             elif kind["type"] == "equi":
-                df = joins.key_join(df, a(kind["left"][1]), right, b(kind["right"][1]), outer, f"{child}.")
+                df = joins.key_join(df, a(kind["left"][1]), right, b(kind["right"][1]), outer, f"{child}.", place if kind["right"][1] == self.tables[child].schema.primary_key else None)
             else:
-                df = self._linked(df, kind, s, a(self._key(parent)), right, b(self._key(child)), outer, f"{child}.")
+                df = self._linked(df, kind, s, a(self._key(parent)), right, b(self._key(child)), outer, f"{child}.", place)
+            df = df.drop(*[f"{child}.{c}" for c in ("_CELL", "_T") if stored])
             if outer and compat_nulls:
                 kinds = {f.name: f.dataType for f in right.schema.fields}
                 df = df.select(*[F.coalesce(q(c), zero(kinds[c])).alias(c) if c in kinds else q(c) for c in df.columns])
         return df, root
 
-    def _linked(self, df, kind, s, left_key, right, right_key, outer, prefix) -> DataFrame:
+    def _linked(self, df, kind, s, left_key, right, right_key, outer, prefix, place) -> DataFrame:
         link = self.db.table(kind["m1"][0])
         columns = lambda n: link.schema.resolve(n)
         m1, m2 = columns(kind["m1"][1]), columns(kind["m2"][1])
@@ -112,10 +129,10 @@ class BoundQuery:
         links = self.db.read(kind["m1"][0])
         parent_table = self.tables[left_key.split(".")[0]]
         if kind["m1"][0] == getattr(parent_table, "name", None) and m1 == parent_table.schema.primary_key:
-            return joins.key_join(df, f"{left_key.split('.')[0]}.{m2}", right, right_key, outer, prefix)
+            return joins.key_join(df, f"{left_key.split('.')[0]}.{m2}", right, right_key, outer, prefix, place)
         nmax = kind.get("nmax", 1 if rank else None)
         links = joins.link_cuts(links, rank, dist, nmax, float(kind.get("dmax", 0) or 0))
-        return joins.link_join(df, left_key, links, m1, m2, right, right_key, outer, rank, dist, prefix)
+        return joins.link_join(df, left_key, links, m1, m2, right, right_key, outer, rank, dist, prefix, place)
 
     def _position(self, root: str) -> tuple[Column | None, Column | None]:
         s = self.tables[root].schema.spatial_keys
@@ -124,6 +141,8 @@ class BoundQuery:
     def _cell(self, root: str) -> Column:
         """Cell of a root row: of its key where the table is stored (keys are row ids), else of its position and time."""
         schema = self.tables[root].schema
+        if isinstance(self.tables[root], Table) and schema.primary_key:
+            return sky.cell_of_id(q(f"{root}.{schema.primary_key}"), schema.level)
         lon, lat = self._position(root)
         if lon is None:
             return F.lit(sky.OBJECT_BITS).cast("long")
@@ -138,7 +157,7 @@ class BoundQuery:
         30 arc seconds of it, with _CACHED true and that cell's _CELLID. ``with_cell``: add _CELLID.
         """
         limits = bounds if isinstance(bounds, Bounds) else make_canonical(bounds)
-        df, root = self._joined(limits, compat_nulls)
+        df, root = self._joined(limits, compat_nulls, cells, include_cached, testbounds)
         schema = self.tables[root].schema
         lon, lat = self._position(root)
         used = {n.id if isinstance(n, ast.Name) else n.attr for e in [*[i.tree for i in self.query.items], self.query.where] if e is not None for n in ast.walk(e) if isinstance(n, (ast.Name, ast.Attribute))}
@@ -229,8 +248,8 @@ class BoundQuery:
                 if item.tree is not None:
                     aliases[name] = inner
         if self.query.where is not None:
-            cond = tr.column(self.query.where)
-            tr.frame = tr.frame.where(F.coalesce(cond.cast("boolean"), F.lit(False)))
+            for cond in tr.conditions(self.query.where):  # one by one and bare, so that scans can take them over; null is no
+                tr.frame = tr.frame.where(cond)
         seen: dict[str, int] = {}
         final = []
         for name, inner in out:
