@@ -214,7 +214,7 @@ SOURCE = ["survey", "filterid"]
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     fields = ["zpt_obs", "airmass", "mjd_obs"]
     rows = table(spark, d, "exposure").select("exp_id", *SOURCE, *fields, "loaded_at")
-    return cut(spikes.ordered_readings(rows, "exp_id", SOURCE, "mjd_obs", fields))
+    return spikes.ordered_readings(rows, "exp_id", SOURCE, "mjd_obs", fields)
 
 
 def _mjd(c: Column) -> Column:
@@ -222,28 +222,25 @@ def _mjd(c: Column) -> Column:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _readings(spark, d)
-    case = lambda df, field: df.select("exp_id", F.lit(field).alias("field"))
-    found = [
-        case(rows.where("airmass < 1 OR airmass > 40"), "airmass"),
-        case(rows.where((F.col("mjd_obs") < 54000) | (F.col("mjd_obs") > 58500) | (F.col("mjd_obs") > _mjd(F.col("loaded_at")))), "mjd_obs"),
-        *[case(spikes.stuck_runs(rows, SOURCE, f, "exp_id"), f) for f in ("zpt_obs", "airmass", "mjd_obs")],
-    ]
-    for field in ("zpt_obs", "airmass"):
-        # candidates from phase space (lambda < 8 for any source under 10^13 rows), then the exact limit
-        far = spikes.phase_space(rows, SOURCE, field, "exp_id").where(F.abs(F.col("value") - F.col("med")) > 8 * spikes.SCALE * F.col("mad"))
-        found.append(case(far, field))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    """One pass: each reading with what the screening says of it, then the exact limits."""
+    rows = spikes.screen(_readings(spark, d), "exp_id", SOURCE, ["zpt_obs", "airmass"], ["zpt_obs", "airmass", "mjd_obs"])
+    # a phase-space spike beyond eight scatters (the ellipsoid holds these for any source under 10^13 readings)
+    far = lambda f: F.col(f"round_{f}").isNotNull() & (F.abs(F.col(f) - F.col(f"med_{f}")) > 8 * spikes.SCALE * F.col(f"mad_{f}"))
+    mjd = F.col("mjd_obs")
+    bad = {
+        "zpt_obs": F.col("stuck_zpt_obs") | far("zpt_obs"),
+        "airmass": F.col("stuck_airmass") | far("airmass") | (F.col("airmass") < 1) | (F.col("airmass") > 40),
+        "mjd_obs": F.col("stuck_mjd_obs") | (mjd < 54000) | (mjd > 58500) | (mjd > _mjd(F.col("loaded_at"))),
+    }
+    fields = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in bad.items()]))
+    return rows.select("exp_id", F.explode(fields).alias("field"))
 
 
 def p6_phase_flags(spark: SparkSession, d: str) -> DataFrame:
     """What the phase-space ellipsoids flag, before any exact limit: exp_id, field, round."""
-    rows = _readings(spark, d)
-    parts = [spikes.phase_space(rows, SOURCE, f, "exp_id").select("exp_id", F.lit(f).alias("field"), "round") for f in ("zpt_obs", "airmass")]
-    return parts[0].unionByName(parts[1])
+    rows = spikes.screen(_readings(spark, d), "exp_id", SOURCE, ["zpt_obs", "airmass"], [])
+    flags = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"round_{f}").alias("round")) for f in ("zpt_obs", "airmass")])
+    return rows.select("exp_id", F.explode(flags).alias("f")).where("f.round IS NOT NULL").select("exp_id", "f.field", "f.round")
 
 
 P6_FOUND_SQL = """

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -12,19 +15,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: what the session names in ``spark.checkpoint.dir``. Only on a single machine, where it
+    may be unset, a temporary one, removed at the end."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix="skyframe-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() and return it with its lineage cut.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests, single
-    machine) a temporary folder is used. The copy lives on shared storage, so losing an executor loses nothing.
+    The copy lives in the shared folder, so losing an executor loses nothing. Spark deletes it once nothing refers to it
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skyframe-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be joined to something large: broadcast if it has at most ``most`` rows, else materialised and joined as
+    Spark sees fit. At most ``most`` + 1 rows come to the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return cut(df)
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     """Join condition ``left.n <=> right.n`` for every name."""
     condition = None
