@@ -44,8 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, to be joined to something large: broadcast if it has at most ``most`` rows, else materialised and joined as
     Spark sees fit. At most ``most`` + 1 rows come to the driver."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) <= most:
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return cut(df)
 
