@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with documents by vector best-fit.
 
-Method: a container has three capacities: tokens, documents and attention cost (sum of squared lengths). Items go, longest
-first, into the open container that fits under all three and is best by the residual norm after placing (``rule='norm'``)
-or by the weighted dot-product of demand and residual (``rule='dot'``).
+Method: a container has three capacities: tokens, documents and attention cost (sum of squared lengths). Each item goes
+into the open container that fits under all three and is best by the residual norm after placing (``rule='norm'``) or by the
+weighted dot-product of demand and residual (``rule='dot'``). Items come longest first, but a short one in between wherever
+those still to come would else be so short on average that the document limit, not the tokens, would close containers.
 """
 
 from __future__ import annotations
@@ -39,10 +40,30 @@ def token_counts(docs: DataFrame, text: str, keep: list[str], tokenizer: str = T
     return docs.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
 
 
+def arrival(size: np.ndarray, need: float, slack: float = 1.05) -> np.ndarray:
+    """Longest first; but the shortest where the rest's average would fall below ``need`` (tokens a document) times ``slack``.
+
+    With a rest of longer average, containers fill up by tokens before they fill up by documents.
+    """
+    down = np.argsort(-size, kind="stable")
+    low, high, total = len(size) - 1, 0, float(size.sum())
+    if low < 1 or total / len(size) < need:  # documents are what is scarce, whatever the order
+        return down
+    out = np.empty(len(size), np.int64)
+    sizes = size[down].tolist()
+    for k in range(len(size)):
+        left = low - high
+        if left and (total - sizes[high]) / left < need * slack:
+            out[k], total, low = low, total - sizes[low], low - 1
+        else:
+            out[k], total, high = high, total - sizes[high], high + 1
+    return down[out]
+
+
 def best_fit(size: np.ndarray, capacity: int, max_items: int, max_cost: float, rule: str = "norm", weights: tuple = WEIGHTS) -> np.ndarray:
-    """Container number of each item, for items no larger than ``capacity``; longest first, ties in the given order."""
+    """Container number of each item, for items no larger than ``capacity``; in ``arrival`` order, ties as given."""
     chosen = np.empty(len(size), np.int64)
-    order = np.argsort(-size, kind="stable")
+    order = arrival(size, capacity / max_items)
     scale = np.array([1 / capacity, 1 / max_items, 1 / max_cost])
     weight = np.asarray(weights)[:, None]
     # an item that alone costs more than a container's attention fills it
@@ -74,14 +95,20 @@ def best_fit(size: np.ndarray, capacity: int, max_items: int, max_cost: float, r
     return chosen
 
 
-def pack(lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], rule: str = "norm", max_docs: int | None = None, attention: float = 1.0, shard_items: int = 8192) -> DataFrame:
+def container_limits(capacity: int, max_docs: int | None = None, attention: float = 1.0, tokens_per_doc: int | None = None) -> tuple[int, float]:
+    """Documents and attention cost that a container may hold."""
+    docs = max_docs or (max(1, capacity // tokens_per_doc) if tokens_per_doc else max(16, capacity // 16))
+    return docs, attention * float(capacity) ** 2
+
+
+def pack(lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], rule: str = "norm", max_docs: int | None = None, attention: float = 1.0, shard_items: int = 8192, tokens_per_doc: int | None = None) -> DataFrame:
     """Every document in a container of each pack: pack_name, container, doc_id, part, first_token, n_tokens.
 
     ``lengths``: doc_id and n_tokens. A document longer than the capacity is divided into full containers of its own and
     a rest that is packed like any other item; no other is divided. A document without tokens is an item of size 0, a null
     length counts as 0, repeated rows are items of their own. ``max_docs`` per container: by default capacity / 16, at
-    least 16; ``attention``: the cost capacity as a multiple of capacity squared; a document whose cost alone is above it gets
-    a container of its own. The items are dealt to shards of about
+    least 16, or with ``tokens_per_doc`` capacity / tokens_per_doc; ``attention``: the cost capacity as a multiple of capacity
+    squared (from 1 on it cannot bind); a document whose cost alone is above it gets a container of its own. The items are dealt to shards of about
     ``shard_items`` by row number, whatever their keys, and each shard is packed alone; only its last containers can be
     left unfilled for want of items.
     """
@@ -101,7 +128,7 @@ def pack(lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], rule: st
     )
     rest = items.withColumn("size", F.col("n") - F.col("_whole") * F.col("capacity")).where("size > 0 OR n = 0")
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("row_no"), F.lit(shards)))
-    limits = {name: (int(c), max_docs or max(16, int(c) // 16), attention * float(c) ** 2) for name, c in packs}
+    limits = {name: (int(c), *container_limits(int(c), max_docs, attention, tokens_per_doc)) for name, c in packs}
 
     def fill(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         name, shard = key
@@ -126,3 +153,22 @@ def fill_report(packed: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
         F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("t").alias("tokens"),
         (F.sum("t") / (F.count(F.lit(1)) * F.first(size[F.col("pack_name")]))).alias("fill"),
     )
+
+
+def limits_report(packed: DataFrame, lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], **options) -> DataFrame:
+    """pack_name, documents, lost_tokens, divided, over_tokens, over_documents, over_attention: documents placed, tokens of
+    ``lengths`` not placed exactly once, documents divided that fit, and containers over each limit (one document alone
+    may cost more attention than the limit). ``options``: as for pack. doc_id must be unique."""
+    per = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("items"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("cost"))
+    rows = [(n, int(c), *container_limits(int(c), **options)) for n, c in packs]
+    limits = F.broadcast(packed.sparkSession.createDataFrame(rows, "pack_name string, capacity long, docs long, attention double"))
+    over = per.join(limits, "pack_name").groupBy("pack_name").agg(
+        F.count_if(F.col("t") > F.col("capacity")).alias("over_tokens"), F.count_if(F.col("items") > F.col("docs")).alias("over_documents"),
+        F.count_if((F.col("items") > 1) & (F.col("cost") > F.col("attention") * (1 + 1e-9))).alias("over_attention"),
+    )
+    mine = packed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("parts"))
+    want = lengths.select(F.col(doc_id).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n"))
+    docs = mine.join(want, "doc_id").join(limits, "pack_name").groupBy("pack_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.abs(F.col("placed") - F.col("n"))).alias("lost_tokens"), F.count_if((F.col("parts") > 1) & (F.col("n") <= F.col("capacity"))).alias("divided")
+    )
+    return docs.join(over, "pack_name")

@@ -22,7 +22,7 @@ class _Buffers:
     """The buffers of one group: at most one full buffer per weight, and fewer than k loose values of weight 1."""
 
     def __init__(self, k: int):
-        self.k, self.loose, self.size, self.full = k, [], 0, {}
+        self.k, self.loose, self.size, self.full, self.turn = k, [], 0, {}, {}
 
     def add(self, weight: int, err: float, vals: np.ndarray) -> None:
         if weight == 1:
@@ -44,8 +44,9 @@ class _Buffers:
         while weight in self.full:
             other, more = self.full.pop(weight)
             merged = np.sort(np.concatenate([other, vals]), kind="stable")
-            # evenly spaced positions; the offset alternates with the level so that errors tend to cancel
-            vals, err = merged[(weight.bit_length() % 2) :: 2], err + more + weight
+            # evenly spaced positions; the offset alternates from one collapse of a level to the next, so that errors cancel
+            turn = self.turn[weight] = 1 - self.turn.get(weight, weight.bit_length() % 2)
+            vals, err = merged[turn::2], err + more + weight
             weight *= 2
         self.full[weight] = (vals, err)
 

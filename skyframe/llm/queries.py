@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import leaks, packing, privacy, quantiles
-from skyframe.session import cut, table
+from skyframe.session import cut, small, table
 
 
 # ---------------------------------------------------------------- p4
@@ -40,6 +40,23 @@ def p4_days_combined(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(days, ["fid", "metric"]), ["fid", "metric"], [0.05, 0.5, 0.95])
 
 
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each combined percentile is within its stated rank error, by counting the values below and up to it.
+
+    Buffers of 64 values, so that groups of some hundred values already collapse; sketches per import day, combined.
+    """
+    rows = cut(_readings(spark, d, ["fid", "mjd_import"]).groupBy("fid", "exp_id", "metric", "value").agg(F.min("mjd_import").alias("day")))
+    days = quantiles.sketch(rows, ["fid", "metric", "day"], "value", 64)
+    q = cut(quantiles.percentiles(quantiles.combine(days, ["fid", "metric"], 64), ["fid", "metric"], [0.05, 0.5, 0.95]))
+    # a result row per group and probability: as many as there are filters
+    at = rows.join(small(q.select("fid", "metric", "prob", F.col("value").alias("v"), "n", "rank_error")), ["fid", "metric"])
+    ranks = at.groupBy("fid", "metric", "prob", "n", "rank_error").agg(F.count_if(F.col("value") < F.col("v")).alias("below"), F.count_if(F.col("value") <= F.col("v")).alias("upto"))
+    want = F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n")))
+    within = (F.col("below") + 1 - F.col("rank_error") <= want) & (want <= F.col("upto") + F.col("rank_error"))
+    bounded = F.col("rank_error") <= F.ceil(F.col("n") * F.greatest(F.log2(F.col("n") / 64), F.lit(1.0)) / 64)
+    return ranks.select(F.col("fid").cast("long").alias("fid"), "metric", "prob", "n", within.alias("within"), bounded.alias("bounded"))
+
+
 P4_RANKED = """
 WITH v AS (SELECT DISTINCT ptf_field, fid, exp_id, 'medfwhm' AS metric, medfwhm AS value FROM ptf_exposure WHERE medfwhm > 0 AND NOT isnan(medfwhm)
            UNION ALL SELECT DISTINCT ptf_field, fid, exp_id, 'limitmag', limitmag FROM ptf_exposure WHERE limitmag > 0 AND NOT isnan(limitmag)),
@@ -55,6 +72,13 @@ WHERE k = greatest(1, CAST(ceil(CAST(p AS DOUBLE) * n) AS BIGINT))
 """
 
 
+P4_BOUNDS_SQL = """
+WITH v AS (SELECT DISTINCT fid, exp_id, 'medfwhm' AS metric, medfwhm AS value FROM ptf_exposure WHERE medfwhm > 0 AND NOT isnan(medfwhm)
+           UNION ALL SELECT DISTINCT fid, exp_id, 'limitmag', limitmag FROM ptf_exposure WHERE limitmag > 0 AND NOT isnan(limitmag))
+SELECT CAST(fid AS BIGINT) AS fid, metric, CAST(p AS DOUBLE) AS prob, count(*) AS n, true AS within, true AS bounded FROM v, (VALUES (0.05), (0.5), (0.95)) t(p) GROUP BY ALL
+"""
+
+
 # ---------------------------------------------------------------- p7
 def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
     """pack_size is a small parameter table."""
@@ -64,16 +88,35 @@ def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
     return sorted((r["pack_name"], r["capacity"]) for r in rows)
 
 
+#: A container takes a document per 64 tokens of room, and four fifths of the attention of one document that fills it.
+P7_LIMITS = {"attention": 0.8, "tokens_per_doc": 64}
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return packing.token_counts(table(spark, d, "documents"), "text", ["doc_id"])
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document in containers of each size."""
-    lengths = packing.token_counts(table(spark, d, "documents"), "text", ["doc_id"])
-    return packing.pack(lengths, "doc_id", _packs(spark, d))
+    return packing.pack(_lengths(spark, d), "doc_id", _packs(spark, d), **P7_LIMITS)
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, d), _packs(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed, and what breaks a rule: nothing may."""
+    lengths, packs = cut(_lengths(spark, d)), _packs(spark, d)
+    return packing.limits_report(packing.pack(lengths, "doc_id", packs, **P7_LIMITS), lengths, "doc_id", packs, **P7_LIMITS)
+
+
+P7_CHECK_SQL = """
+SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS lost_tokens, CAST(0 AS BIGINT) AS divided,
+  CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_documents, CAST(0 AS BIGINT) AS over_attention FROM pack_size WHERE capacity > 0
+"""
+
+
 # ---------------------------------------------------------------- p8
 def _items(spark: SparkSession, d: str, most: int = 1_000_000) -> list[tuple[int, str]]:
     """The held-out items: a stated query set."""
@@ -138,12 +181,12 @@ def p9_generalised(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_days_combined": p4_days_combined,
-        "p7_packing": p7_packing, "p7_fill": p7_fill,
+        "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_days_combined": p4_days_combined, "p4_bounds": p4_bounds,
+        "p7_packing": p7_packing, "p7_fill": p7_fill, "p7_check": p7_check,
         "p8_found": p8_found, "p8_fuzzy": p8_fuzzy,
         "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_generalised": p9_generalised,
     }
 
 
 def sql() -> dict:
-    return {"p4_found": P4_FOUND_SQL, "p4_percentiles": P4_PERCENTILES_SQL, "p8_found": P8_FOUND_SQL}
+    return {"p4_found": P4_FOUND_SQL, "p4_percentiles": P4_PERCENTILES_SQL, "p4_bounds": P4_BOUNDS_SQL, "p7_check": P7_CHECK_SQL, "p8_found": P8_FOUND_SQL}

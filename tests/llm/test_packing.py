@@ -55,3 +55,27 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "the paper do lie upon the table"), (2, ""), (3, None), (4, "wort " * 30_000)], "id long, text string")
     got = {r["id"]: r["n_tokens"] for r in packing.token_counts(df, "text", ["id"]).collect()}
     assert got[1] == 7 and got[2] == 0 and got[3] == 0 and got[4] >= 30_000
+
+
+def test_three_limits_decide(spark):
+    """Limits that bind give another packing than tokens alone, and none is broken."""
+    n = np.random.default_rng(5).integers(1, 400, 900)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(900), "n_tokens": n}))
+    packs = [("one", 512)]
+    bound = {"attention": 0.5, "max_docs": 4}
+    scalar, vector = (packing.pack(df, "id", packs, **o).toPandas() for o in ({"attention": 1e9, "max_docs": 10**6}, bound))
+    broken = {k: v for r in packing.limits_report(packing.pack(df, "id", packs, attention=1e9, max_docs=10**6), df, "id", packs, **bound).collect() for k, v in r.asDict().items()}
+    assert broken["over_documents"] > 0 and broken["over_attention"] > 0 and broken["over_tokens"] == 0
+    kept = {k: v for r in packing.limits_report(packing.pack(df, "id", packs, **bound), df, "id", packs, **bound).collect() for k, v in r.asDict().items()}
+    assert kept == {"pack_name": "one", "documents": 900, "lost_tokens": 0, "divided": 0, "over_tokens": 0, "over_documents": 0, "over_attention": 0}
+    assert vector["container"].nunique() > scalar["container"].nunique()
+
+
+def test_short_items_do_not_wait(monkeypatch):
+    """Under a document limit, items of mixed lengths need fewer containers than longest first does."""
+    n = np.concatenate([np.random.default_rng(7).integers(20, 300, 900), np.random.default_rng(8).integers(5, 30, 900)])
+    assert sorted(packing.arrival(n, 64.0)) == list(range(len(n)))
+    mixed = len(set(packing.best_fit(n, 512, 8, 1e18)))
+    monkeypatch.setattr(packing, "arrival", lambda size, need: np.argsort(-size, kind="stable"))
+    longest = len(set(packing.best_fit(n, 512, 8, 1e18)))
+    assert mixed < 0.97 * longest
