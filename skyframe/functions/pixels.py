@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from skyframe.functions.sky import LEVEL, NODE_L, OBJECT_BITS, POLE_DEC, POLE_RA, pix_size
+from skyframe.functions.sky import GALACTIC_AXES, LEVEL, OBJECT_BITS, pix_size
 
 EAST, NORTH = np.array([-1, -1, 1, 1]), np.array([1, -1, -1, 1])
 
@@ -24,12 +24,7 @@ def _turn(matrix, lon, lat):
     return tuple(o.reshape(np.shape(lon)) if np.ndim(lon) else float(o[0]) for o in out)
 
 
-def _about(axis: int, angle: float) -> np.ndarray:
-    c, s = math.cos(angle), math.sin(angle)
-    return np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) if axis == 2 else np.array([[1, 0, 0], [0, c, s], [0, -s, c]])
-
-
-_TO_GAL = _about(2, -math.radians(NODE_L)) @ _about(0, math.radians(90 - POLE_DEC)) @ _about(2, math.radians(POLE_RA + 90))
+_TO_GAL = np.array(GALACTIC_AXES)
 
 
 def equgal(ra, dec):

@@ -60,23 +60,39 @@ def lambert_inverse(x: Column, y: Column, lon0=0.0, lat0=90.0) -> tuple[Column,
     return F.when(rho == 0, at).otherwise(at + there), F.when(rho == 0, lat_c).otherwise(lat)
 
 
+def _product(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
+    return [[sum(x * y for x, y in zip(row, column)) for column in zip(*b)] for row in a]
+
+
+def _galactic_axes() -> list[list[float]]:
+    """Rows: the axes of the galactic system in the equatorial one: turns about z (to the node), x (to the pole) and z."""
+
+    def about(axis: int, degrees: float) -> list[list[float]]:
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        return [[c, s, 0], [-s, c, 0], [0, 0, 1]] if axis == 2 else [[1, 0, 0], [0, c, s], [0, -s, c]]
+
+    return _product(about(2, -NODE_L), _product(about(0, 90 - POLE_DEC), about(2, POLE_RA + 90)))
+
+
+GALACTIC_AXES = _galactic_axes()
+
+
+def _rotated(axes: list[list[float]], lon, lat, names: tuple[str, str]) -> Column:
+    """struct of the angles of a position in other axes: its unit vector's products with them."""
+    flat = F.cos(_r(lat))
+    vector = flat * F.cos(_r(lon)), flat * F.sin(_r(lon)), F.sin(_r(lat))
+    x, y, z = (sum((v * F.lit(a) for v, a in zip(vector[1:], axis[1:])), vector[0] * F.lit(axis[0])) for axis in axes)
+    return F.struct(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)).alias(names[0]), F.degrees(F.asin(_clip(z))).alias(names[1]))
+
+
 def equgal(ra, dec) -> Column:
     """struct(l, b): galactic coordinates of equatorial ones."""
-    s, c, turn = F.sin(_r(dec)), F.cos(_r(dec)), _r(ra) - math.radians(POLE_RA)
-    sp, cp = math.sin(math.radians(POLE_DEC)), math.cos(math.radians(POLE_DEC))
-    up = c * cp * F.cos(turn) + s * sp
-    lon = F.atan2(s - up * sp, c * F.sin(turn) * cp) + math.radians(NODE_L)
-    lon = F.when(lon < 0, lon + 2 * math.pi).otherwise(lon)
-    return F.struct(F.degrees(lon).alias("l"), F.degrees(F.asin(_clip(up))).alias("b"))
+    return _rotated(GALACTIC_AXES, ra, dec, ("l", "b"))
 
 
 def galequ(lon, lat) -> Column:
     """struct(ra, dec): equatorial coordinates of galactic ones."""
-    s, c, turn = F.sin(_r(lat)), F.cos(_r(lat)), _r(lon) - math.radians(NODE_L)
-    sp, cp = math.sin(math.radians(POLE_DEC)), math.cos(math.radians(POLE_DEC))
-    ra = F.atan2(c * F.cos(turn), s * cp - c * sp * F.sin(turn)) + math.radians(POLE_RA)
-    ra = F.when(ra < 0, ra + 2 * math.pi).otherwise(ra)
-    return F.struct(F.degrees(ra).alias("ra"), F.degrees(F.asin(_clip(c * cp * F.sin(turn) + s * sp))).alias("dec"))
+    return _rotated([list(c) for c in zip(*GALACTIC_AXES)], lon, lat, ("ra", "dec"))
 
 
 def repair(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.operators.sequence import rank_in_groups
+from skyframe.operators.sequence import rank_in_groups, with_halo
 from skyframe.session import cut
 
 KEY = ["stream", "hdu"]
@@ -86,32 +86,20 @@ def islands(files: DataFrame, block: int = 4096) -> DataFrame:
     """Starts and endings of each field's islands: stream, hdu, field, kind, note, pos, is_start, is_end.
 
     ``files`` has pos (position of the file among those of its stream and hdu). The windows are cut into blocks of
-    ``block`` positions, so none holds more rows than that; islands that only seem to start or end at a block border
-    are taken out by looking for the other half.
+    ``block`` positions with one position's copies over each border, so none holds more rows than that and no island seems
+    to start or end at a border. One shuffle.
     """
     if block < 2:
         raise ValueError("a block holds two positions or more")
-    rows = files.select(*KEY, "pos", F.explode("fields").alias("f")).select(
-        *KEY, "pos", "f.field", "f.kind", "f.note", F.floor(F.col("pos") / block).alias("_block")
-    )
     life = [*KEY, "field", "kind"]
+    rows = files.select(*KEY, "pos", F.explode("fields").alias("f")).select(*KEY, "pos", "f.field", "f.kind", "f.note")
     w = Window.partitionBy(*life, "_block").orderBy("pos")
-    marks = rows.select(
-        *life, "note", "pos", "_block",
+    marks = with_halo(rows, "pos", block, 1).select(
+        *life, "note", "pos", "_own",
         (F.coalesce(F.lag("pos").over(w), F.lit(-9)) != F.col("pos") - 1).alias("is_start"),
         (F.coalesce(F.lead("pos").over(w), F.lit(-9)) != F.col("pos") + 1).alias("is_end"),
-    ).where("is_start OR is_end")
-    # a start at the first row of a block is real only if the block before has no ending right before it
-    border = Window.partitionBy(*life, "_edge").orderBy("pos")
-    edge = F.when(F.col("pos") % block == 0, F.col("_block")).when(F.col("pos") % block == block - 1, F.col("_block") + 1)
-    at_edge = marks.withColumn("_edge", edge)
-    inner = at_edge.where("_edge IS NULL")
-    outer = at_edge.where("_edge IS NOT NULL").select(
-        *life, "note", "pos", "_block",
-        (F.col("is_start") & ~((F.col("pos") % block == 0) & (F.coalesce(F.lag("pos").over(border), F.lit(-9)) == F.col("pos") - 1))).alias("is_start"),
-        (F.col("is_end") & ~((F.col("pos") % block == block - 1) & (F.coalesce(F.lead("pos").over(border), F.lit(-9)) == F.col("pos") + 1))).alias("is_end"),
     )
-    return inner.drop("_edge").unionByName(outer).where("is_start OR is_end").drop("_block")
+    return marks.where("_own AND (is_start OR is_end)").drop("_own")
 
 
 def changes(files: DataFrame, block: int = 4096) -> DataFrame:
@@ -120,24 +108,26 @@ def changes(files: DataFrame, block: int = 4096) -> DataFrame:
     ``renamed``: gone and new with the same description (not empty); ``field`` is the old name. ``retyped``: in both with
     another type. ``added``/``removed``: any other. The first file of a stream and hdu has no changes. Of several fields
     with one description that change names at once, the first old name goes with the first new one, and so on.
+
+    The events are shuffled once, by file; everything after is within a file.
     """
-    marks = islands(files, block)
-    began = marks.where("is_start AND pos > 0").select(*KEY, "pos", "field", "note", F.lit(1).alias("new"), F.lit(0).alias("gone"))
-    ended = marks.where("is_end").select(*KEY, (F.col("pos") + 1).alias("pos"), "field", "note", F.lit(0).alias("new"), F.lit(1).alias("gone"))
-    events = began.unionByName(ended).groupBy(*KEY, "pos", "field").agg(F.max("new").alias("new"), F.max("gone").alias("gone"), F.max("note").alias("note"))
     spot = [*KEY, "pos"]
-    retyped = events.where("new = 1 AND gone = 1").select(*spot, "field", F.lit(None).cast("string").alias("new_name"), F.lit("retyped").alias("change"))
-    moved = events.where("new + gone = 1")
-    k = F.row_number().over(Window.partitionBy(*spot, "note", "gone").orderBy("field"))
+    began = F.when(F.col("is_start") & (F.col("pos") > 0), F.struct(F.col("pos").alias("at"), F.lit(1).alias("new"), F.lit(0).alias("gone")))
+    ended = F.when(F.col("is_end"), F.struct((F.col("pos") + 1).alias("at"), F.lit(0).alias("new"), F.lit(1).alias("gone")))
+    events = islands(files, block).select(*KEY, "field", "note", F.explode(F.array_compact(F.array(began, ended))).alias("e"))
+    events = events.select(*KEY, F.col("e.at").alias("pos"), "field", "note", "e.new", "e.gone").repartition(*spot)
+    once = events.groupBy(*spot, "field").agg(F.max("new").alias("new"), F.max("gone").alias("gone"), F.max("note").alias("note"))
+    both = F.col("new") + F.col("gone") == 2
+    k = F.row_number().over(Window.partitionBy(*spot, "note", "gone", "new").orderBy("field"))
+    alone = F.when(both, F.concat_ws("|", "field", F.lit("both"))).when(F.col("note") == "", F.concat_ws("|", "field", "gone"))
     pairs = (
-        moved.withColumn("k", k).withColumn("alone", F.when(F.col("note") == "", F.concat_ws("|", "field", "gone")))
-        .groupBy(*spot, "note", "k", "alone")
-        .agg(F.max(F.when(F.col("gone") == 1, F.col("field"))).alias("old"), F.max(F.when(F.col("new") == 1, F.col("field"))).alias("new_name"))
-        .select(*spot, F.coalesce("old", "new_name").alias("field"), F.when(F.col("old").isNotNull(), F.col("new_name")).alias("new_name"),
-                F.when(F.col("old").isNull(), "added").when(F.col("new_name").isNull(), "removed").otherwise("renamed").alias("change"))
+        once.withColumn("k", k).withColumn("alone", alone).groupBy(*spot, "note", "k", "alone")
+        .agg(F.max(F.when(F.col("gone") == 1, F.col("field"))).alias("old"), F.max(F.when(F.col("new") == 1, F.col("field"))).alias("new_name"), F.max(both).alias("both"))
+        .select(*spot, F.coalesce("old", "new_name").alias("field"), F.when(F.col("old").isNotNull() & ~F.col("both"), F.col("new_name")).alias("new_name"),
+                F.when(F.col("both"), "retyped").when(F.col("old").isNull(), "added").when(F.col("new_name").isNull(), "removed").otherwise("renamed").alias("change"))
     )
     # endings at the last file have no next file and fall out here
-    return retyped.unionByName(pairs).join(files.select(*KEY, "pos", "file_no"), spot).drop("pos")
+    return pairs.join(files.select(*KEY, "pos", "file_no"), spot).drop("pos")
 
 
 def lifespans(files: DataFrame, block: int = 4096) -> DataFrame:
@@ -240,16 +230,17 @@ def consistent_table(files: DataFrame, hdu: str = "primary", max_columns: int =
 
     Table units have columns and no values: they are for ``consistent_columns``. Names in ``taken`` are given to no column.
 
-    The alias table is the schema of the result, so the driver holds it; more than ``max_columns`` names are an error.
+    The alias table is the schema of the result, so the driver holds it, up to ``max_columns`` names; where there are more,
+    the values of the others, in order of their canonical names, stand as text in a map column ``more_``.
     The column's type holds every value, so only empty values become null; where a file has several names of one column,
     the first non-null one in name order counts. Column names keep their letter case and are made distinct by a
     suffix where two differ in case only.
     """
     if hdu != "primary":
         raise ValueError(f"{hdu} is a table unit; its fields have no values")
-    aliases = alias_table(files.where(F.col("hdu") == hdu)).limit(max_columns + 1).collect()
-    if len(aliases) > max_columns:
-        raise ValueError(f"more than {max_columns} field names")
+    aliases = alias_table(files.where(F.col("hdu") == hdu)).orderBy("canonical", "field").limit(max_columns + 1).collect()
+    beyond = len(aliases) > max_columns
+    aliases = aliases[:max_columns]
     groups: dict[str, list] = {}
     for row in sorted(aliases, key=lambda r: (r["canonical"], r["field"])):
         groups.setdefault(row["canonical"], []).append(row)
@@ -263,5 +254,8 @@ def consistent_table(files: DataFrame, hdu: str = "primary", max_columns: int =
             name += "_"
         taken.add(name.lower())
         columns.append(F.coalesce(*typed).alias(name))
+    if beyond:
+        named = [r["field"] for r in aliases]
+        columns.append(F.map_filter("_cards", lambda k, _: ~k.isin(named)).alias("more_"))
     cards = F.map_from_arrays(F.transform("fields", lambda f: f["field"]), F.transform("fields", lambda f: f["raw"]))
     return files.where(F.col("hdu") == hdu).withColumn("_cards", cards).select("stream", "file_no", "smf_fn", "loaded_at", *columns)

@@ -203,10 +203,10 @@ _add("q24_rectangle_wrap", _ask("sdss_id FROM sdss", bounds=[rectangle(350, -20,
 
 
 def gal_sql(ra: str, dec: str) -> tuple[str, str]:
-    pole, node = "radians(27.128336111)", "radians(32.932)"
-    up = f"(cos(radians({dec})) * cos({pole}) * cos(radians({ra}) - radians(192.859508333)) + sin(radians({dec})) * sin({pole}))"
-    raw = f"(atan2(sin(radians({dec})) - {up} * sin({pole}), cos(radians({dec})) * sin(radians({ra}) - radians(192.859508333)) * cos({pole})) + {node})"
-    return f"degrees(CASE WHEN {raw} < 0 THEN {raw} + 2 * pi() ELSE {raw} END)", f"degrees(asin(least(1.0, greatest(-1.0, {up}))))"
+    """Galactic longitude and latitude: products of the unit vector with the galactic axes."""
+    unit = (f"cos(radians({dec})) * cos(radians({ra}))", f"cos(radians({dec})) * sin(radians({ra}))", f"sin(radians({dec}))")
+    x, y, z = ("(" + " + ".join(f"{u} * CAST({a!r} AS DOUBLE)" for u, a in zip(unit, axis)) + ")" for axis in sky.GALACTIC_AXES)
+    return f"((degrees(atan2({y}, {x})) + 360) % 360)", f"degrees(asin(least(1.0, greatest(-1.0, {z}))))"
 
 
 L, B = gal_sql("ra", "dec")

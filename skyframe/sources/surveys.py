@@ -16,38 +16,37 @@ from skyframe.functions.registry import flux_to_mag, flux_to_mag_err
 from skyframe.sources.fits import headers, keep_nan, read_fits, table_data
 from skyframe.types import spark_type
 
-# ------------------------------------------------------------------ fixed values: columns of the survey tables, name:type
-EXPOSURE = (
-    "exp_id:u8 filterid:a6 survey:a4 equinox:f4 ra:f8 dec:f8 l:f8 b:f8 mjd_obs:f8 exptime:f4 airmass:f4 cached:bool "
-    "m2z:f4 obstype:a20 object:a20 expreq:f4 dettem:f4 filename:a20 nghosts:u4 mag_zp:f4 zpt_obs:f4 zpt_ref:f4 zpt_err:f4 zpt_off:f4 "
-    "posangle:f4 rot:f4 alt:f8 az:f8 ast_r0:f8 ast_d0:f8 ast_t0:f8 ast_s0:f8 ast_rs:f8 ast_ds:f8 dt_astr:f8"
-)
-DETECTION = (
-    "det_id:u8 exp_id:u8 chip_id:u1 survey:a4 ra:f8 dec:f8 mjd_obs:f8 l:f8 b:f8 flags:u4 flags2:u4 n_frames:i2 cached:bool "
-    "ipp_idet:i4 x_psf:f4 y_psf:f4 x_psf_sig:f4 y_psf_sig:f4 posangle:f4 pltscale:f4 filterid:a6 psf_inst_mag:f4 psf_inst_mag_sig:f4 "
-    "psf_inst_flux:f4 psf_inst_flux_sig:f4 ap_mag:f4 ap_mag_raw:f4 ap_mag_radius:f4 peak_flux_as_mag:f4 cal_psf_mag:f4 cal_psf_mag_sig:f4 "
-    "sky:f4 sky_sigma:f4 psf_chisq:f4 cr_nsigma:f4 ext_nsigma:f4 psf_major:f4 psf_minor:f4 psf_theta:f4 psf_qf:f4 psf_qf_perfect:f4 "
-    "psf_ndof:u4 psf_npix:u4 moments_xx:f4 moments_xy:f4 moments_yy:f4 moments_m3c:f4 moments_m3s:f4 moments_m4c:f4 moments_m4s:f4 "
-    "moments_r1:f4 moments_rh:f4 kron_flux:f4 kron_flux_err:f4 kron_flux_inner:f4 kron_flux_outer:f4"
-)
-CATALOGUE = "sdss_id:u8 ra:f8 dec:f8 l:f8 b:f8 type:i4 flags:i4 flags2:i4 resolve_status:i2 run:i4 camcol:i4 field:i4 objid:i4"
-EXTRACTED = "det_id:u8 exp_id:u8 ra:f8 dec:f8 mjd:f8 fid:u1 mag_abs:u2 magerr_abs:u2 mu_max:i2 mag_auto:i2 mag_aper:5i2 magerr_aper:5u2 flags:u2 imaflags_iso:u2 nimaflags_iso:u2 cached:bool"
+# ------------------------------------------------------------------ fixed values: columns of the survey tables and their types
+EXPOSURE = {
+    "exp_id": "u8", "filterid": "a6", "survey": "a4", "equinox": "f4", "ra": "f8", "dec": "f8", "l": "f8", "b": "f8",
+    "mjd_obs": "f8", "exptime": "f4", "airmass": "f4", "cached": "bool", "m2z": "f4", "obstype": "a20",
+    "object": "a20", "expreq": "f4", "dettem": "f4", "filename": "a20", "nghosts": "u4", "mag_zp": "f4",
+    "zpt_obs": "f4", "zpt_ref": "f4", "zpt_err": "f4", "zpt_off": "f4", "posangle": "f4", "rot": "f4", "alt": "f8",
+    "az": "f8", "ast_r0": "f8", "ast_d0": "f8", "ast_t0": "f8", "ast_s0": "f8", "ast_rs": "f8", "ast_ds": "f8",
+    "dt_astr": "f8",
+}
+DETECTION = {
+    "det_id": "u8", "exp_id": "u8", "chip_id": "u1", "survey": "a4", "ra": "f8", "dec": "f8", "mjd_obs": "f8",
+    "l": "f8", "b": "f8", "flags": "u4", "flags2": "u4", "n_frames": "i2", "cached": "bool", "ipp_idet": "i4",
+    "x_psf": "f4", "y_psf": "f4", "x_psf_sig": "f4", "y_psf_sig": "f4", "posangle": "f4", "pltscale": "f4",
+    "filterid": "a6", "psf_inst_mag": "f4", "psf_inst_mag_sig": "f4", "psf_inst_flux": "f4",
+    "psf_inst_flux_sig": "f4", "ap_mag": "f4", "ap_mag_raw": "f4", "ap_mag_radius": "f4", "peak_flux_as_mag": "f4",
+    "cal_psf_mag": "f4", "cal_psf_mag_sig": "f4", "sky": "f4", "sky_sigma": "f4", "psf_chisq": "f4",
+    "cr_nsigma": "f4", "ext_nsigma": "f4", "psf_major": "f4", "psf_minor": "f4", "psf_theta": "f4", "psf_qf": "f4",
+    "psf_qf_perfect": "f4", "psf_ndof": "u4", "psf_npix": "u4", "moments_xx": "f4", "moments_xy": "f4",
+    "moments_yy": "f4", "moments_m3c": "f4", "moments_m3s": "f4", "moments_m4c": "f4", "moments_m4s": "f4",
+    "moments_r1": "f4", "moments_rh": "f4", "kron_flux": "f4", "kron_flux_err": "f4", "kron_flux_inner": "f4",
+    "kron_flux_outer": "f4",
+}
+CATALOGUE = {
+    "sdss_id": "u8", "ra": "f8", "dec": "f8", "l": "f8", "b": "f8", "type": "i4", "flags": "i4", "flags2": "i4",
+    "resolve_status": "i2", "run": "i4", "camcol": "i4", "field": "i4", "objid": "i4",
+}
 #: Columns whose name in the file is not the upper-case name.
 RENAMED = {"mjd_obs": "MJD-OBS", "ra": "RA_PSF", "dec": "DEC_PSF"}
 SWEEP = {"ra": "RA", "dec": "DEC", "type": "OBJC_TYPE", "flags": "OBJC_FLAGS", "flags2": "OBJC_FLAGS2", "resolve_status": "RESOLVE_STATUS", "run": "RUN", "camcol": "CAMCOL", "field": "FIELD", "objid": "ID"}
 #: Bits that must not be set (flags, flags2) and the one that must be (resolve_status).
-F1_BRIGHT, F1_EDGE, F1_NODEBLEND, F1_SATURATED, F1_BINNED1, F2_DEBLENDED_AS_MOVING, RS_SURVEY_PRIMARY = 1 << 1, 1 << 2, 1 << 6, 1 << 18, 1 << 28, 1 << 0, 1 << 8
-#: Detection flags: bit number by name.
-DETECTION_FLAGS = {
-    name: 1 << i for i, name in enumerate(
-        "PSFMODEL EXTMODEL FITTED FITFAIL POORFIT PAIR PSFSTAR SATSTAR BLEND EXTERNALPOS BADPSF DEFECT SATURATED CR_LIMIT EXT_LIMIT MOMENTS_FAILURE SKY_FAILURE "
-        "SKYVAR_FAILURE MOMENTS_SN BIG_RADIUS AP_MAGS BLEND_FIT EXTENDED_FIT EXTENDED_STATS LINEAR_FIT NONLINEAR_FIT RADIAL_FLUX SIZE_SKIPPED ON_SPIKE ON_GHOST OFF_CHIP".split()
-    )
-}
-
-
-def spec(text: str) -> dict[str, str]:
-    return dict(p.split(":") for p in text.split())
+F1_BRIGHT, F1_EDGE, F1_NODEBLEND, F1_SATURATED, F2_DEBLENDED_AS_MOVING, RS_SURVEY_PRIMARY = 1 << 1, 1 << 2, 1 << 6, 1 << 18, 1 << 0, 1 << 8
 
 
 def chips() -> Iterator[tuple[int, str]]:
@@ -81,9 +80,9 @@ def _ddl(columns: dict[str, str]) -> str:
 def read_exposures(spark: SparkSession, paths: str | list[str], survey: str) -> DataFrame:
     """One row per exposure file, from its primary header: EXPOSURE columns, smf_fn, hdr (header text), chip_hdr (64 texts),
     notfound_keys and notfound_cols (64 lists of columns that a chip's table lacks; null where complete or absent)."""
-    columns = spec(EXPOSURE)
+    columns = EXPOSURE
     wanted = {c: ("RA" if c == "ra" else "DEC" if c == "dec" else RENAMED.get(c, c.upper())) for c in columns if c not in ("exp_id", "survey", "l", "b", "cached")}
-    table = [c for c in spec(DETECTION) if c not in ("det_id", "exp_id", "chip_id", "survey", "mjd_obs", "l", "b", "cached", "filterid")]
+    table = [c for c in DETECTION if c not in ("det_id", "exp_id", "chip_id", "survey", "mjd_obs", "l", "b", "cached", "filterid")]
     need = [RENAMED.get(c, c.upper()) for c in table]
 
     def rows(blocks):
@@ -117,7 +116,7 @@ def read_exposures(spark: SparkSession, paths: str | list[str], survey: str) ->
 
 def read_detections(spark: SparkSession, paths: str | list[str], survey: str) -> DataFrame:
     """Rows of all chips' tables of exposure files: DETECTION columns and smf_fn. Missing columns are NaN or zero."""
-    columns = spec(DETECTION)
+    columns = DETECTION
     own = [c for c in columns if c not in ("det_id", "exp_id", "chip_id", "survey", "mjd_obs", "l", "b", "cached", "filterid")]
 
     def rows(blocks):
@@ -152,8 +151,8 @@ def import_exposures(db, det_table: str, exp_table: str, paths: str | list[str],
     exposures = read_exposures(db.spark, paths, survey)
     if create:
         more = {"smf_fn": "a40", "hdr": "a", "chip_hdr": "[1]a", "notfound_keys": "[1]a", "notfound_cols": "[2]a"}
-        db.create_table(exp_table, _definition(spec(EXPOSURE) | {"smf_fn": "a40"}, "exp_id", "mjd_obs", exposure="exp_id"), ignore_if_exists=True)
-        db.create_table(det_table, _definition(spec(DETECTION), "det_id", "mjd_obs", exposure="exp_id"), ignore_if_exists=True)
+        db.create_table(exp_table, _definition(EXPOSURE | {"smf_fn": "a40"}, "exp_id", "mjd_obs", exposure="exp_id"), ignore_if_exists=True)
+        db.create_table(det_table, _definition(DETECTION, "det_id", "mjd_obs", exposure="exp_id"), ignore_if_exists=True)
         t = db.table(exp_table)
         for c, k in more.items():
             if c not in t.schema.columns():
@@ -182,7 +181,7 @@ def survey_quality(flags: Column, flags2: Column, resolve_status: Column) -> Col
 
 def read_sweeps(spark: SparkSession, paths: str | list[str], all: bool = False) -> DataFrame:  # noqa: A002
     """Flux catalogues: CATALOGUE columns, and for each band x of ugriz x, xErr, xExt, xCalib; only good rows unless ``all``."""
-    columns = spec(CATALOGUE)
+    columns = CATALOGUE
     schema = ", ".join([f"{c} {spark_type(columns[c]).simpleString()}" for c in SWEEP] + [f"{c} array<{k}>" for c, k in (("extinction", "float"), ("modelflux", "float"), ("modelflux_ivar", "float"), ("calib_status", "int"))])
     raw = read_fits(spark, paths, schema, {**SWEEP, "extinction": "EXTINCTION", "modelflux": "MODELFLUX", "modelflux_ivar": "MODELFLUX_IVAR", "calib_status": "CALIB_STATUS"}).drop("notfound")
     if not all:
