@@ -80,6 +80,17 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--force", action="store_true")
     i.add_argument("--exposures", help="exposure table (import exposures)")
     i.add_argument("--survey", default="")
+    g = sub.add_parser("ingest", help="import new exposure files under a folder, then associate")
+    o = sub.add_parser("associate", help="make objects of detections that have none")
+    for s in (g, o):
+        s.add_argument("detections")
+        s.add_argument("--radius", type=float, default=1.0, help="arc seconds")
+    o.add_argument("objects")
+    o.add_argument("links")
+    g.add_argument("exposures")
+    g.add_argument("folder")
+    g.add_argument("--objects", nargs=2, metavar=("OBJECTS", "LINKS"))
+    g.add_argument("--survey", default="")
     x = sub.add_parser("xmatch")
     x.add_argument("table_from")
     x.add_argument("table_to")
@@ -101,6 +112,18 @@ def parser() -> argparse.ArgumentParser:
     for name in ("desc", "snapshots", "drop", "vacuum", "rebuild", "unfollow"):
         asub.add_parser(name).add_argument("table")
     asub.add_parser("tables")
+    alias = asub.add_parser("alias", help="another name of a column")
+    for word in ("table", "alias", "column"):
+        alias.add_argument(word)
+    group = asub.add_parser("group", help="add a column group")
+    group.add_argument("table")
+    group.add_argument("group")
+    group.add_argument("columns", nargs="+", help="NAME:TYPE, type f8 if absent")
+    join = asub.add_parser("join", help="the join queries use: by a link table's columns, or by equal columns")
+    join.add_argument("left")
+    join.add_argument("right")
+    join.add_argument("--links", nargs=3, metavar=("TABLE", "M1", "M2"))
+    join.add_argument("--on", nargs=2, metavar=("LEFT_COLUMN", "RIGHT_COLUMN"))
     follow = asub.add_parser("follow", help="use a table of another root without copying it")
     follow.add_argument("table")
     follow.add_argument("root")
@@ -115,7 +138,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     db = Database(spark, a.db)
-    return {"query": _query, "import": _import, "xmatch": _xmatch, "footprint": _footprint, "admin": _admin, "check": _check}[a.command](db, a)
+    return {"query": _query, "import": _import, "ingest": _ingest, "associate": _associate, "xmatch": _xmatch, "footprint": _footprint, "admin": _admin, "check": _check}[a.command](db, a)
 
 
 def _query(db, a) -> int:
@@ -161,6 +184,20 @@ def _import(db, a) -> int:
     return 0
 
 
+def _ingest(db, a) -> int:
+    from skyframe.sources.surveys import ingest
+
+    print(f"{ingest(db, a.detections, a.exposures, a.folder, a.survey, tuple(a.objects) if a.objects else None, a.radius / 3600)} files")
+    return 0
+
+
+def _associate(db, a) -> int:
+    from skyframe.operators.associate import make_objects
+
+    print("{} new objects, {} links".format(*make_objects(db, a.detections, a.objects, a.links, a.radius / 3600)))
+    return 0
+
+
 def _xmatch(db, a) -> int:
     from skyframe.operators.associate import match_catalogues
 
@@ -202,6 +239,15 @@ def _admin(db, a) -> int:
             group = {"columns": columns, "primary_key": a.primary_key, "spatial_keys": a.spatial_keys.split(",") if a.spatial_keys else None, "temporal_key": a.temporal_key}
             definition = {"schema": {"main": group}}
         db.create_table(a.table, definition)
+    elif a.action == "alias":
+        db.define_alias(a.table, a.alias, a.column)
+    elif a.action == "group":
+        db.create_group(a.table, a.group, {"columns": [tuple(c.split(":", 1)) if ":" in c else (c, "f8") for c in a.columns]})
+    elif a.action == "join":
+        if a.links:
+            db.define_default_join(a.left, a.right, "indirect", overwrite=True, m1=(a.links[0], a.links[1]), m2=(a.links[0], a.links[2]))
+        else:
+            db.define_default_join(a.left, a.right, "equi", overwrite=True, left=(a.left, a.on[0]), right=(a.right, a.on[1]))
     elif a.action == "tables":
         print("\n".join(db.tables()))
     elif a.action == "drop":

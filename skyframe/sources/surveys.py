@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import sky
 from skyframe.functions.registry import flux_to_mag, flux_to_mag_err
 from skyframe.sources.fits import headers, keep_nan, read_fits, table_data
+from skyframe.session import cut
 from skyframe.types import spark_type
 
 # ------------------------------------------------------------------ fixed values: columns of the survey tables and their types
@@ -148,7 +149,7 @@ def read_detections(spark: SparkSession, paths: str | list[str], survey: str) ->
 
 def import_exposures(db, det_table: str, exp_table: str, paths: str | list[str], survey: str, create: bool = False) -> DataFrame:
     """Import exposure files into both tables, joined by exp_id; returns smf_fn, exp_id of the new exposures."""
-    exposures = read_exposures(db.spark, paths, survey)
+    exposures = cut(read_exposures(db.spark, paths, survey))
     if create:
         more = {"smf_fn": "a40", "hdr": "a", "chip_hdr": "[1]a", "notfound_keys": "[1]a", "notfound_cols": "[2]a"}
         db.create_table(exp_table, _definition(EXPOSURE | {"smf_fn": "a40"}, "exp_id", "mjd_obs", exposure="exp_id"), ignore_if_exists=True)
@@ -162,8 +163,7 @@ def import_exposures(db, det_table: str, exp_table: str, paths: str | list[str],
             db.define_default_join(det_table, exp_table, "equi", left=(det_table, "exp_id"), right=(exp_table, "exp_id"))
     with db.transaction():
         db.write(exp_table, exposures)
-        names = [r["smf_fn"] for r in exposures.select("smf_fn").collect()]
-        ids = db.read(exp_table).where(F.col("smf_fn").isin(names)).select("smf_fn", "exp_id")
+        ids = db.read(exp_table).select("smf_fn", "exp_id").join(exposures.select("smf_fn"), "smf_fn", "left_semi")
         rows = read_detections(db.spark, paths, survey).drop("exp_id").join(ids, "smf_fn").drop("smf_fn")
         db.write(det_table, rows)
     return ids
@@ -254,3 +254,42 @@ def new_files(listed: DataFrame, name: str, loaded: DataFrame, loaded_name: str,
 
     rows = latest_version(listed, [key], [version, name]) if key and version else listed
     return rows.join(loaded.select(F.col(loaded_name).alias(name)), name, "left_anti")
+
+
+def exposure_files(spark: SparkSession, folder: str, pattern: str = "*.smf") -> DataFrame:
+    """path, name, key, version of the exposure files under a folder: 'o5432g0123o.99.smf' is version 99 of o5432g0123o."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    number = F.regexp_extract(name, r"\.(\d+)$", 1)
+    return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.\d+$", "").alias("key"), F.coalesce(F.nullif(number, F.lit("")).try_cast("long"), F.lit(0)).alias("version"))
+
+
+def ingest(db, det_table: str, exp_table: str, folder: str, survey: str, objects: tuple[str, str] | None = None, radius: float = 1 / 3600, pattern: str = "*.smf", batch: int = 1000) -> int:
+    """Import what is new under a folder, then bring the object catalogue (object and link table) up to date.
+
+    Of each exposure only the newest version counts, and nothing that is loaded already, this version or another. Files go
+    in batches of ``batch``, each in a transaction of its own, so an ingest that was broken off goes on where it stopped.
+    Returns the number of files imported.
+    """
+    from skyframe.operators.associate import make_objects
+
+    listed = exposure_files(db.spark, folder, pattern)
+    fresh = new_files(listed, "name", db.spark.createDataFrame([], "name string"), "name", "version", "key")
+    if db.table_exists(exp_table):
+        loaded = db.read(exp_table).select(F.regexp_replace("smf_fn", r"\.\d+$", "").alias("key"))
+        fresh = fresh.join(loaded, "key", "left_anti")
+    paths, done = [], 0
+    for row in cut(fresh.select("path", "key")).orderBy("key").toLocalIterator():  # names only; the files are read in the cluster
+        paths.append(row["path"])
+        if len(paths) == batch:
+            done, paths = done + _import_batch(db, det_table, exp_table, paths, survey), []
+    if paths:
+        done += _import_batch(db, det_table, exp_table, paths, survey)
+    if done and objects:
+        make_objects(db, det_table, *objects, radius)
+    return done
+
+
+def _import_batch(db, det_table: str, exp_table: str, paths: list[str], survey: str) -> int:
+    import_exposures(db, det_table, exp_table, paths, survey, create=True)
+    return len(paths)
