@@ -221,6 +221,19 @@ def cells_around(lon, lat, offsets: list[tuple[float, float]], level: int = LEVE
     return F.transform(F.transform(F.transform(spots, on_sky), on_plane), cell)
 
 
+def near_border(lon: Column, lat: Column, level: int, margin: float) -> Column:
+    """False only where a position's cell has no border within ``margin`` degrees.
+
+    A radian on the sky is at most about half a unit of the pixel plane, so twice that is on the safe side; where the plane
+    ends between two quarters, the other quarter's cell is across the edge.
+    """
+    size, reach = pix_size(level), math.radians(margin)
+    x, y = butterfly(lon, lat)
+    part = lambda v: (v + 1) / size - F.floor((v + 1) / size)
+    close = lambda f: F.least(f, 1 - f) * size <= reach
+    return close(part(x)) | close(part(y)) | (F.abs(F.abs(F.abs(x) - F.abs(y)) - 0.5) <= 2 * reach)
+
+
 def circle(margin: float, points: int = 8) -> list[tuple[float, float]]:
     """Offsets in the Lambert plane of points on a circle of ``margin`` degrees."""
     r = 2 * math.sin(math.radians(margin) / 2)

@@ -84,7 +84,8 @@ def association(detections: DataFrame, radius: float, objects: DataFrame | None
         rows = rows.unionByName(old.select(F.col("obj_id").alias("det_id"), F.lit(0).cast("long").alias("exp_id"), F.lit(float("-inf")).alias("mjd"), F.pmod("ra", F.lit(360.0)).alias("ra"), "dec", F.lit(True).alias("is_object")))
     place = lambda lon, lat: sky.static_cell(sky.cell_of_id(sky.position_id(lon, lat), level))
     own = place(F.col("ra"), F.col("dec"))
-    spots = F.array_distinct(F.concat(F.array(F.col("own")), sky.cells_around(F.col("ra"), F.col("dec"), sky.circle(halo), level)))
+    around = F.array_distinct(F.concat(F.array(F.col("own")), sky.cells_around(F.col("ra"), F.col("dec"), sky.circle(halo), level)))
+    spots = F.when(sky.near_border(F.col("ra"), F.col("dec"), level, halo), around).otherwise(F.array("own"))
     spread = rows.withColumn("own", own).withColumn("cell", F.explode(spots)).withColumn("is_own", F.col("own") == F.col("cell"))
 
     def walk(df: pd.DataFrame) -> list[tuple]:
@@ -136,7 +137,9 @@ def association(detections: DataFrame, radius: float, objects: DataFrame | None
             yield pd.DataFrame(out, columns=columns)
 
     order = ["cell", "mjd", "exp_id", "det_id"]
-    links = cut(spread.repartition("cell").sortWithinPartitions(*order).mapInPandas(cells, LINK_SCHEMA))
+    # as many partitions as the session has for shuffles: the work in a cell, not its bytes, is what takes time
+    partitions = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = cut(spread.repartition(partitions, "cell").sortWithinPartitions(*order).mapInPandas(cells, LINK_SCHEMA))
     made = links.where("det_id = obj AND new").select(F.col("obj").alias("obj_id"), F.col("obj_ra").alias("ra"), F.col("obj_dec").alias("dec"))
     # a link to a new object that its own cell did not make: the detection that would have started it joined another there
     claimed = links.where("new").select(F.col("obj").alias("obj_id"), F.col("obj_ra").alias("ra"), F.col("obj_dec").alias("dec")).distinct()

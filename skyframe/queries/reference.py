@@ -50,7 +50,8 @@ def database(spark: SparkSession, d: str) -> Database:
     one = t("sdss").where("dec BETWEEN -90 AND 90 AND ra IS NOT NULL AND NOT isnan(ra)").withColumn("ra", F.pmod("ra", F.lit(360.0)))
     db.register("sdss", aggregate.latest_version(one.select("sdss_id", "ra", "dec", "type", "run", "g", "r"), ["sdss_id"], ["ra", "dec", "g", "r"]), primary_key="sdss_id", spatial_keys=["ra", "dec"], exposure_key="run")
     good = t("obj").where("ra IS NOT NULL AND NOT isnan(ra) AND dec BETWEEN -90 AND 90").select("obj_id", F.pmod("ra", F.lit(360.0)).alias("ra"), "dec")
-    db.register("obj", good.groupBy("obj_id").agg(F.min("ra").alias("ra"), F.min("dec").alias("dec")), primary_key="obj_id", spatial_keys=["ra", "dec"])
+    one_obj = good.groupBy("obj_id").agg(F.min(F.struct("ra", "dec")).alias("p")).select("obj_id", "p.*")
+    db.register("obj", one_obj, primary_key="obj_id", spatial_keys=["ra", "dec"])
     db.register("xm", t("xm").select("m1", "m2", "dist", "nr").distinct(), aliases={"_M1": "m1", "_M2": "m2", "_DIST": "dist", "_NR": "nr"})
     db.define_default_join("nation", "region", "equi", left=("nation", "n_regionkey"), right=("region", "r_regionkey"))
     db.define_default_join("supplier", "nation", "equi", left=("supplier", "s_nationkey"), right=("nation", "n_nationkey"))
@@ -398,7 +399,7 @@ _add("q62_pruned_read", _pruned, f"SELECT c_custkey AS custkey FROM {SKY['custom
 def _detections(spark: SparkSession, d: str) -> DataFrame:
     """Usable detections of exposures, once each."""
     rows_ = table(spark, d, "detection").where("exp_id <> 0").select("det_id", "exp_id", F.col("mjd_obs").alias("mjd"), "ra", "dec")
-    return cut(rows_.groupBy("det_id").agg(*[F.min(c).alias(c) for c in ("exp_id", "mjd", "ra", "dec")]))
+    return cut(aggregate.latest_version(rows_, ["det_id"], ["exp_id", "mjd", "ra", "dec"]))
 
 
 def _associate(spark: SparkSession, d: str) -> DataFrame:

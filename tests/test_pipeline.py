@@ -81,3 +81,23 @@ def test_cells_near_exposures_against_brute_force(spark):
         turn = np.degrees(np.arctan2(np.sin(a) * np.sin(d) * np.cos(np.radians(y)), np.cos(d) - np.sin(np.radians(y)) * z))
         touched |= set(pixels.static_cell_ids(*pixels.butterfly((x + turn) % 360, np.degrees(np.arcsin(z))), 5).tolist())
     assert touched <= got and len(got - touched) <= 0.1 * len(got)
+
+
+def test_near_border_misses_no_cell(spark):
+    """Wherever a circle around a position meets another cell, the position counts as near a border."""
+    from pyspark.sql import functions as F
+
+    from skyframe.functions import sky
+
+    rng = np.random.default_rng(9)
+    n = 6000
+    lon, lat = rng.uniform(0, 360, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n)))
+    lat[:500] = 90 - rng.uniform(0, 2, 500)
+    lon[500:1500] = rng.integers(0, 5, 1000) * 90 + rng.normal(0, 0.05, 1000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lon, lat)], "a double, b double").repartition(4)
+    for level, margin in ((6, 0.3), (10, 0.01)):
+        own = sky.static_cell(sky.cell_of_id(sky.position_id(F.col("a"), F.col("b")), level))
+        others = F.size(F.filter(sky.cells_around(F.col("a"), F.col("b"), sky.circle(margin, 24), level), lambda c: c != F.col("own")))
+        seen = df.withColumn("own", own).select((others > 0).alias("meets"), sky.near_border(F.col("a"), F.col("b"), level, margin).alias("near")).groupBy("meets", "near").count().collect()
+        counts = {(r["meets"], r["near"]): r["count"] for r in seen}
+        assert counts.get((True, False), 0) == 0 and counts[(True, True)] > 50 and counts[(False, False)] > 500
