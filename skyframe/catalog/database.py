@@ -109,14 +109,15 @@ class Database:
 
     # -------------------------------------------------------------- joins
     def define_join(self, name: str, type: str = "indirect", overwrite: bool = False, **definition) -> None:  # noqa: A002
-        """Save a join. indirect: m1=(table, column), m2=(table, column) of one link table; equi: left=(t, c), right=(t, c)."""
+        """Save a join. indirect: m1=(table, column), m2=(table, column), of one link
+        table, or of two whose rows belong together one by one in the order of their keys; equi: left=(t, c), right=(t, c)."""
         known = self.join_definitions()
         if name in known and not overwrite:
             raise CatalogError(f"join {name} exists")
         if type == "indirect":
-            m1, m2 = tuple(definition["m1"]), tuple(definition["m2"])
-            if m1[0] != m2[0]:
-                raise CatalogError("m1 and m2 must be columns of the same table")
+            for end in ("m1", "m2"):
+                if len(tuple(definition[end])) != 2:
+                    raise CatalogError(f"{end} is a table and a column")
         elif type not in ("equi", "xmatch"):
             raise CatalogError(f"unknown join type {type}")
         d = {"type": type, **{k: list(v) if isinstance(v, tuple) else v for k, v in definition.items()}}
@@ -254,17 +255,26 @@ class Database:
         suffix = t.schema.filters.get(group, "")
         return f"{t.folder.at(base)}/{name}{suffix}"
 
-    def fetch_uris(self, df: DataFrame, column: str, out: str = "content") -> DataFrame:
-        """Join the content (binary) of the files that a column names; each distinct file is read once. Missing: null."""
-        uris = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()]
-        paths = {self.uri_path(u): u for u in uris}
-        there = [p for p in paths if Folder(self.spark, p).exists()]
+    def fetch_uris(self, df: DataFrame, column: str, out: str = "content", named: int = 10_000) -> DataFrame:
+        """Join the content (binary) of the files that a column names; each distinct file is read once. Missing: null.
+
+        Folders are listed, one listing each. Up to ``named`` distinct files are opened by name, beyond that all files of
+        the folders, and the join picks those wanted.
+        """
+        prefixes = [r[0] for r in df.select(F.regexp_extract(column, r"^(sky:[^:]*:[^:]*:)", 1).alias("p")).where("p <> ''").distinct().collect()]
+        path = F.col(column)
+        for p in prefixes:  # as many as there are file groups
+            suffix = self.uri_path(p + "\0").split("\0")
+            path = F.when(F.startswith(F.col(column), F.lit(p)), F.concat(F.lit(suffix[0]), F.substring(column, len(p) + 1, 1 << 30), F.lit(suffix[1]))).otherwise(path)
+        wanted = df.select(path.alias("_path")).where("_path IS NOT NULL").distinct()
+        folders = [r[0] for r in wanted.select(F.regexp_replace("_path", "/[^/]*$", "").alias("f")).distinct().collect()]
+        listed = {f: set(Folder(self.spark, f).names()) for f in folders}
+        paths = [r[0] for r in wanted.limit(named + 1).collect()]
+        there = [p for p in paths if p.rpartition("/")[2] in listed[p.rpartition("/")[0]]] if len(paths) <= named else [f for f, n in listed.items() if n]
         if not there:
             return df.withColumn(out, F.lit(None).cast("binary"))
-        files = self.spark.read.format("binaryFile").load(there).select("path", F.col("content").alias(out))
-        full = {str(Folder(self.spark, p).fs.makeQualified(Folder(self.spark, p)._path(p))): paths[p] for p in there}
-        names = self.spark.createDataFrame(list(full.items()), ["path", "_uri"])
-        return df.join(files.join(names, "path").drop("path"), df[column] == F.col("_uri"), "left").drop("_uri")
+        files = self.spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/+", "/").alias("_file"), F.col("content").alias(out))
+        return df.withColumn("_at", F.regexp_replace(path, "^file:/+", "/")).join(files, F.col("_at") == F.col("_file"), "left").drop("_at", "_file")
 
     # -------------------------------------------------------------- queries
     def query(self, text: str, locals: dict | None = None):  # noqa: A002

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from skyframe.functions.sky import GALACTIC_AXES, LEVEL, OBJECT_BITS, pix_size
+from skyframe.functions.sky import DT, GALACTIC_AXES, LEVEL, OBJECT_BITS, T0, pix_size
 
 EAST, NORTH = np.array([-1, -1, 1, 1]), np.array([1, -1, -1, 1])
 
@@ -147,3 +147,22 @@ def adjacency(level: int = LEVEL) -> dict[int, frozenset[int]]:
                     found[int(c)].add(int(o))
                     found[int(o)].add(int(c))
     return {c: frozenset(o) for c, o in found.items()}
+
+
+def pixel_level(size: float) -> int:
+    """Level of the pixels with this side in the pixel plane."""
+    level = round(1 - math.log2(size))
+    if level < 0 or not math.isclose(pix_size(level), size, rel_tol=1e-9):
+        raise ValueError(f"no level has pixels of {size}")
+    return level
+
+
+def cell_polygon(cell: int, level: int = LEVEL, t0: float = T0, dt: float = DT) -> tuple[list[tuple[float, float]], tuple[float, float] | None]:
+    """Corners of a cell in the pixel plane (counterclockwise; three where it is a half pixel), and its time interval."""
+    bits = int(cell) & ((1 << 64) - 1)
+    size = pix_size(level)
+    x, y = (((bits >> at) & 1023) // (1 << (10 - level)) * size - 1 for at in (54, 44))
+    corners = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+    inside = [c for c in corners if valid(*c)]
+    slice_ = (bits >> 32) & 0xFFF
+    return inside, (t0 + slice_ * dt, t0 + (slice_ + 1) * dt) if slice_ else None

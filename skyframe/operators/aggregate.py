@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions import sky
+
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
     """bin, n over [low, high] in equal bins; the last one is closed. Values outside, null and NaN are left out."""
@@ -124,8 +126,47 @@ def latest_version(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*")
 
 
+def pixel_histogram(df: DataFrame, lon: Column, lat: Column, value: Column, level: int, low: float, high: float, bins: int) -> DataFrame:
+    """pix, bin, n: histogram of a value (such as a difference of magnitudes) in every pixel of a level. Rows without a
+    position, and values outside [low, high], null or NaN, are left out; the last bin is closed."""
+    v = value.cast("double")
+    x, y = sky.butterfly(lon, lat)
+    here = df.where(lon.isNotNull() & lat.between(-90, 90) & ~F.isnan(lon) & v.between(low, high) & ~F.isnan(v))
+    k = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))
+    return here.groupBy(sky.pix_idx(x, y, level).alias("pix"), k.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blocks_by_key(df: DataFrame, key: str, max_rows: int, name: str = "block") -> DataFrame:
+    """Add the number of a block: all rows of a key are in one, and a block has at most ``max_rows`` rows unless it is one
+    key's. Keys go to blocks in their order; null is a key.
+
+    Only the keys' row counts are laid out: by range partitions of the keys, each cut into blocks on its own (so a block
+    ends where a partition does). The rows themselves are not sorted, and a key with most of them is no hot task here.
+    """
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = sizes.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, size = 0, 0
+        for b in batches:
+            out = []
+            for n in b["_n"].tolist():
+                if size and size + n > max_rows:
+                    at, size = at + 1, 0
+                size += n
+                out.append(at)
+            yield b[["_key", "_part"]].assign(_at=out)
+
+    kind = dict(sizes.dtypes)["_key"]
+    placed = ranged.mapInPandas(cut_up, f"_key {kind}, _part int, _at long").withColumn(name, F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_at")).drop("_part", "_at")
+    return df.join(placed, df[key].eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def partition_by_key(df: DataFrame, key: str, max_rows: int) -> Iterator[pd.DataFrame]:
-    """Blocks in which all rows of a key are together; at most ``max_rows`` rows unless one key alone has more."""
+    """Blocks in which all rows of a key are together; at most ``max_rows`` rows unless one key alone has more.
+
+    For a program on the driver, which sees all rows one after the other; ``blocks_by_key`` numbers such blocks in place.
+    """
     held, size, last = [], 0, object()
     group: list = []
     names = df.columns

@@ -45,9 +45,9 @@ class Translator:
     """Translates expressions over ``frame``. ``resolve(name)`` gives the Column of a plain name or None; ``member(table,
     name)`` that of a qualified one. A lookup joins its table to ``frame``, so use ``frame`` afterwards."""
 
-    def __init__(self, frame: DataFrame, resolve: Callable, member: Callable, functions: reg.Registry, variables: dict):
+    def __init__(self, frame: DataFrame, resolve: Callable, member: Callable, functions: reg.Registry, variables: dict, fetch: Callable | None = None):
         self.frame, self.resolve, self.member = frame, resolve, member
-        self.functions, self.variables, self.lookups = functions, variables, 0
+        self.functions, self.variables, self.lookups, self.fetch = functions, variables, 0, fetch
 
     # -------------------------------------------------------------- types
     def kind(self, c: Column) -> T.DataType:
@@ -242,7 +242,14 @@ class Translator:
         if plain in ("in1d", "isin"):
             return self._among(self.visit(n.args[0]), self.visit(n.args[1]))
         if name == "fitskw":
-            return self._fitskw(n)
+            return self._fitskw(n, self.column(n.args[0]))
+        if name == "ffitskw":  # the same of files that the first argument names
+            if self.fetch is None:
+                raise QueryError("ffitskw needs a database")
+            uri, text = f"__uri{self.lookups}", f"__file{self.lookups}"
+            self.lookups += 1
+            self.frame = self.fetch(self.frame.withColumn(uri, self.column(n.args[0])), uri, text)
+            return self._fitskw(n, F.decode(F.col(text), "utf-8"))
         target = None
         if isinstance(n.func, ast.Name):
             target = self.variables.get(name)
@@ -278,12 +285,11 @@ class Translator:
         kind = {"float": T.DoubleType(), "int": T.LongType(), "bool": T.BooleanType(), "str": T.StringType()}.get(str(name)) or spark_type(str(name))
         return c.try_cast(kind)
 
-    def _fitskw(self, n: ast.Call) -> Column:
+    def _fitskw(self, n: ast.Call, header: Column) -> Column:
         if len(n.args) < 2 or not isinstance(n.args[1], ast.Constant):
             raise QueryError("fitskw(headers, 'KEYWORD', default) needs a constant keyword")
         default = self.visit(n.args[2]) if len(n.args) > 2 else 0
         kind = "boolean" if isinstance(default, bool) else "string" if isinstance(default, str) else "double"
-        header = self.column(n.args[0])
         one = lambda h: reg.header_value(h, n.args[1].value, kind, default)
         return F.transform(header, one) if isinstance(self.kind(header), T.ArrayType) else one(header)
 

@@ -57,6 +57,16 @@ def key_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, o
     return joined.select(*[q(c) for c in left.columns], *[q(c) for c in right.columns], F.col("__there").isNull().alias(f"{prefix}_ISNULL"), F.lit(0).cast("long").alias(f"{prefix}_NR"), F.lit(0.0).alias(f"{prefix}_DIST"))
 
 
+def side_by_side(one: tuple[DataFrame, str, str], two: tuple[DataFrame, str, str]) -> DataFrame:
+    """m1, m2 of two tables (frame, key, column) whose k-th rows, in order of their keys, belong together."""
+    from skyframe.operators.rows import numbered
+
+    sides = []
+    for (df, key, column), name in zip((one, two), ("m1", "m2")):
+        sides.append(numbered(df.select(q(key).alias("_key"), q(column).alias(name)), ["_key"], "_row").drop("_key"))
+    return sides[0].join(sides[1], "_row").drop("_row")
+
+
 def nearest(left: DataFrame, left_id: str, left_pos: tuple[str, str], right: DataFrame, right_id: str, right_pos: tuple[str, str], nmax: int | None = 1, radius: float = 1 / 3600) -> DataFrame:
     """The ``nmax`` nearest right rows within ``radius`` degrees (None: all): a, b, dist, nr (0-based; ties by right id)."""
     pairs = neighbours(left, left_id, *left_pos, right, right_id, *right_pos, radius)

@@ -118,6 +118,9 @@ class BoundQuery:
         return df, root
 
     def _linked(self, df, kind, s, left_key, right, right_key, outer, prefix, place) -> DataFrame:
+        if kind["m1"][0] != kind["m2"][0]:
+            links = joins.side_by_side(*[(self.db.read(t), self.db.table(t).schema.primary_key, self.db.table(t).schema.resolve(c)) for t, c in (kind["m1"], kind["m2"])])
+            return joins.link_join(df, left_key, links, "m1", "m2", right, right_key, outer, None, None, prefix, place)
         link = self.db.table(kind["m1"][0])
         columns = lambda n: link.schema.resolve(n)
         m1, m2 = columns(kind["m1"][1]), columns(kind["m2"][1])
@@ -226,7 +229,7 @@ class BoundQuery:
                     return c
             return q(name) if name in PSEUDO and name in tr.frame.columns else None
 
-        tr = Translator(df, resolve, member, self.db.functions, self.variables)
+        tr = Translator(df, resolve, member, self.db.functions, self.variables, self.db.fetch_uris)
         out: list[tuple[str, str]] = []
         for item in self.query.items:
             if item.tree is None:

@@ -28,6 +28,29 @@ def p1_aliases(spark: SparkSession, d: str) -> DataFrame:
     return lifespans.alias_table(cut(lifespans.header_files(table(spark, d, "smf_raw"))))
 
 
+def p1_missing(spark: SparkSession, d: str) -> DataFrame:
+    """What the exposures' own lists say: per keyword and column of the current schema, exposures and chips that lack it,
+    and when such files were first and last loaded."""
+    rows = table(spark, d, "exposure").where("exp_id IS NOT NULL").select("exp_id", "loaded_at", "notfound_keys", "notfound_cols")
+    keys = rows.select("exp_id", "loaded_at", F.lit("keyword").alias("unit"), F.lit(0).alias("chip"), F.explode("notfound_keys").alias("field"))
+    chips = rows.select("exp_id", "loaded_at", F.posexplode("notfound_cols").alias("chip", "cols"))
+    columns = chips.select("exp_id", "loaded_at", F.lit("column").alias("unit"), "chip", F.explode("cols").alias("field"))
+    # once per exposure and chip first, so that a field which most files lack is combined before the shuffle by field
+    once = keys.unionByName(columns).where("field IS NOT NULL").groupBy("unit", "field", "exp_id", "chip").agg(F.min("loaded_at").alias("first"), F.max("loaded_at").alias("last"))
+    per = once.groupBy("unit", "field", "exp_id").agg(F.count(F.lit(1)).alias("chips"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return per.groupBy("unit", "field").agg(F.count(F.lit(1)).alias("exposures"), F.sum("chips").alias("chips"), F.unix_micros(F.min("first")).alias("first_loaded"), F.unix_micros(F.max("last")).alias("last_loaded"))
+
+
+P1_MISSING_SQL = """
+WITH k AS (SELECT exp_id, loaded_at, 'keyword' AS unit, 0 AS chip, unnest(notfound_keys) AS field FROM exposure WHERE exp_id IS NOT NULL),
+g AS (SELECT exp_id, loaded_at, unnest(range(len(notfound_cols))) AS chip, unnest(notfound_cols) AS cols FROM exposure WHERE exp_id IS NOT NULL),
+c AS (SELECT exp_id, loaded_at, 'column' AS unit, chip, unnest(cols) AS field FROM g),
+a AS (SELECT * FROM k UNION ALL BY NAME SELECT * FROM c)
+SELECT unit, field, count(DISTINCT exp_id) AS exposures, count(DISTINCT (exp_id, chip)) AS chips, epoch_us(min(loaded_at)) AS first_loaded, epoch_us(max(loaded_at)) AS last_loaded
+FROM a WHERE field IS NOT NULL GROUP BY 1, 2
+"""
+
+
 P1_CARDS = r"""
 files AS (
   SELECT stream, hdu, file_no, arg_max(body, (loaded_at, body)) AS body FROM smf_raw
@@ -243,7 +266,15 @@ def p6_phase_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("exp_id", F.explode(flags).alias("f")).where("f.round IS NOT NULL").select("exp_id", "f.field", "f.round")
 
 
-P6_FOUND_SQL = """
+def p6_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading beyond eight scatters of its source, and whether the ellipsoids flag it: exp_id, field, flagged."""
+    rows = spikes.screen(_readings(spark, d), "exp_id", SOURCE, ["zpt_obs", "airmass"], [])
+    far = lambda f: (F.col(f"mad_{f}") > 0) & (F.abs(F.col(f) - F.col(f"med_{f}")) > 8 * spikes.SCALE * F.col(f"mad_{f}"))
+    found = F.array_compact(F.array(*[F.when(far(f), F.struct(F.lit(f).alias("field"), F.col(f"round_{f}").isNotNull().alias("flagged"))) for f in ("zpt_obs", "airmass")]))
+    return rows.select("exp_id", F.explode(found).alias("f")).select("exp_id", "f.field", "f.flagged")
+
+
+P6_READINGS = """
 WITH o AS (
   SELECT exp_id, min(loaded_at) AS loaded_at, arg_min({'s': survey, 'f': filterid, 'zpt_obs': zpt_obs, 'airmass': airmass, 'mjd_obs': mjd_obs}, (mjd_obs IS NULL, loaded_at)) AS p
   FROM exposure WHERE exp_id IS NOT NULL GROUP BY 1),
@@ -256,6 +287,9 @@ q AS (SELECT *, row_number() OVER w AS k FROM l WHERE mjd_obs IS NOT NULL WINDOW
 b AS (SELECT *, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS brk FROM q WINDOW w AS (PARTITION BY survey, filterid, field ORDER BY k)),
 r AS (SELECT *, sum(brk) OVER (PARTITION BY survey, filterid, field ORDER BY k) AS run FROM b),
 c AS (SELECT *, count(*) OVER (PARTITION BY survey, filterid, field, run) AS size FROM r)
+"""
+P6_SPIKES_SQL = P6_READINGS + "SELECT exp_id, field, true AS flagged FROM l JOIN s USING (survey, filterid, field) WHERE field <> 'mjd_obs' AND mad > 0 AND abs(x - med) > 8 * 1.4826 * mad"
+P6_FOUND_SQL = P6_READINGS + """
 SELECT DISTINCT exp_id, field FROM (
   SELECT exp_id, field FROM c WHERE size >= 6 AND x IS NOT NULL
   UNION ALL SELECT exp_id, field FROM l WHERE field = 'airmass' AND (x < 1 OR x > 40)
@@ -266,11 +300,11 @@ SELECT DISTINCT exp_id, field FROM (
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_aliases": p1_aliases, "p1_table": p1_table,
+        "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_aliases": p1_aliases, "p1_table": p1_table, "p1_missing": p1_missing,
         "p2_found": p2_found, "p2_regions": p2_regions,
         "p3_found": p3_found, "p3_cell_runs": p3_cell_runs, "p3_cell_percentiles": p3_cell_percentiles,
         "p5_found": p5_found, "p5_report": p5_report, "p5_composite": p5_composite,
-        "p6_found": p6_found, "p6_phase_flags": p6_phase_flags,
+        "p6_found": p6_found, "p6_phase_flags": p6_phase_flags, "p6_spikes": p6_spikes,
     }
 
 
@@ -278,5 +312,5 @@ def sql() -> dict:
     return {
         "p1_found": P1_FOUND_SQL, "p1_lifespans": P1_LIFESPANS_SQL, "p2_found": P2_FOUND_SQL, "p2_regions": P2_REGIONS_SQL,
         "p3_found": P3_FOUND_SQL, "p3_cell_runs": P3_RUNS_SQL, "p3_cell_percentiles": P3_PERCENTILES_SQL,
-        "p5_found": P5_LOST, "p5_report": P5_REPORT_SQL, "p5_composite": P5_COMPOSITE_SQL, "p6_found": P6_FOUND_SQL,
+        "p5_found": P5_LOST, "p5_report": P5_REPORT_SQL, "p5_composite": P5_COMPOSITE_SQL, "p6_found": P6_FOUND_SQL, "p6_spikes": P6_SPIKES_SQL, "p1_missing": P1_MISSING_SQL,
     }

@@ -6,7 +6,7 @@ the same text in both engines. The survey tables (sdss, obj, xm, exposure, detec
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from skyframe.operators import aggregate, associate, rows
 from skyframe.plans import joins
 from skyframe.plans.bounds import T, beam, polygon, rectangle
 from skyframe.plans.expr import Lookup
-from skyframe.session import cut, table
+from skyframe.session import cut, shared_folder, table
 from skyframe.sources import surveys
 from skyframe.types import mjd, u64_order, u64_text
 
@@ -268,9 +268,7 @@ def _three_kernels(spark: SparkSession, d: str) -> DataFrame:
     first = mapreduce.pairs(df, _to_pairs)
     second = mapreduce.reduce_by_key(first, _sum_by_parity)
     third = mapreduce.reduce_by_key(second, _total)
-    read = F.udf(lambda k, v: __import__("pickle").loads(bytes(k)) * 10**9 + __import__("pickle").loads(bytes(v)), "long")
-    coded = third.select(read("k", "v").alias("c"))  # a handful of rows
-    return coded.select((F.col("c") / 10**9).cast("long").alias("parity"), (F.col("c") % 10**9).alias("total"))
+    return mapreduce.unpacked(third, "parity long, total long")
 
 
 def _to_pairs(rows_):
@@ -330,9 +328,8 @@ _add("q67_survey_quality", lambda s, d: table(s, d, "sdss").groupBy(surveys.surv
 # ------------------------------------------------------------------ writes
 def _stored(spark: SparkSession, d: str) -> Database:
     """Customers 1..n in a stored table of a fresh folder beside the checkpoints."""
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    root = f"{base or tempfile.mkdtemp(prefix='skyframe-')}/db-{__import__('uuid').uuid4().hex}"
+    base = spark.sparkContext.getCheckpointDir() or shared_folder(spark)
+    root = f"{base}/db-{uuid.uuid4().hex}"
     db = Database(spark, [root])
     columns = [("id", "u8"), ("lon", "f8"), ("lat", "f8"), ("custkey", "i8"), ("balance", "f8"), ("segment", "a20")]
     db.create_table("stars", {"level": 3, "schema": {"main": {"columns": columns, "primary_key": "id", "spatial_keys": ["lon", "lat"]}}})
@@ -414,8 +411,20 @@ def _sanity(spark: SparkSession, d: str) -> DataFrame:
 
 _add("q48_associate", _associate)
 _add("q49_sanity", _sanity, "SELECT * FROM (VALUES ('once', CAST(0 AS BIGINT)), ('linked', 0), ('used', 0), ('near', 0), ('known', 0)) t(\"check\", n)")
-_add("q63_streaming_windows", lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n"),
-     "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _streaming_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files: counts per day and type, kept up to date by micro-batches, then read."""
+    from skyframe.streaming import windows
+
+    folder = f"{spark.sparkContext.getCheckpointDir() or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windows.windowed_counts(events, "ts", ["event_type"], "1 day", late="36500 days")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    windows.ingest(counts, keep, f"{folder}/state", "complete").awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_add("q63_streaming_windows", _streaming_windows, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
 
 def queries() -> dict:

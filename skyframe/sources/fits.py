@@ -227,3 +227,46 @@ def write_fits(df: DataFrame, path: str, max_rows: int = 10_000_000) -> None:
         raise ValueError(f"more than {max_rows} rows; write Parquet instead")
     with open(path, "wb") as f:
         f.write(fits_bytes(pdf, df.schema))
+
+
+def write_fits_parts(df: DataFrame, folder: str, max_rows: int = 1_000_000) -> DataFrame:
+    """FITS files in a shared folder, one or more per partition (path, rows): each holds at most ``max_rows`` rows.
+
+    The tasks write them, under a name that is replaced when the file is whole, so a task that is run again leaves no
+    half file. Text columns are as wide as their longest value in the file.
+    """
+    base = folder if "://" in folder else f"file://{folder}"
+    schema = df.schema
+
+    def write(batches):
+        from pyarrow import fs as arrow_fs
+        from pyspark import TaskContext
+
+        system, path = arrow_fs.FileSystem.from_uri(base)
+        system.create_dir(path, recursive=True)
+        held, size, number = [], 0, 0
+
+        def flush():
+            nonlocal held, size, number
+            name = f"{path}/part-{TaskContext.get().partitionId():05d}-{number:03d}.fits"
+            pdf = pd.concat(held, ignore_index=True)
+            with system.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}.writing") as out:
+                out.write(fits_bytes(pdf, schema))
+            system.move(f"{name}.{TaskContext.get().taskAttemptId()}.writing", name)
+            held, size, number = [], 0, number + 1
+            return pd.DataFrame({"path": [name], "rows": [len(pdf)]})
+
+        for b in batches:
+            while len(b):
+                take = b.iloc[: max_rows - size]
+                held.append(take)
+                size += len(take)
+                b = b.iloc[len(take) :]
+                if size >= max_rows:
+                    yield flush()
+        if size:
+            yield flush()
+
+    from skyframe.session import cut
+
+    return cut(df.mapInPandas(write, "path string, rows long"))

@@ -293,3 +293,10 @@ def ingest(db, det_table: str, exp_table: str, folder: str, survey: str, objects
 def _import_batch(db, det_table: str, exp_table: str, paths: list[str], survey: str) -> int:
     import_exposures(db, det_table, exp_table, paths, survey, create=True)
     return len(paths)
+
+
+def exposure_listing(exposures: DataFrame) -> DataFrame:
+    """One row per exposure: exp_id, mjd_obs, filterid, smf_fn of its newest delivery; to see what is loaded without headers."""
+    from skyframe.operators.aggregate import latest_version
+
+    return latest_version(exposures.where("exp_id IS NOT NULL").select("exp_id", "loaded_at", "smf_fn", "mjd_obs", "filterid"), ["exp_id"], ["loaded_at", "smf_fn", "mjd_obs", "filterid"]).select("exp_id", "mjd_obs", "filterid", "smf_fn")

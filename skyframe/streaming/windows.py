@@ -17,6 +17,7 @@ def once_each(stream: DataFrame, key: str, time: str, late: str = "1 day") -> Da
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(stream: DataFrame, write_batch, checkpoint: str):
-    """Run ``write_batch(df, number)`` on every micro-batch that is available, then stop (incremental ingest)."""
-    return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append"):
+    """Run ``write_batch(df, number)`` on every micro-batch that is available, then stop (incremental ingest). With mode
+    'complete' a batch is the whole result so far."""
+    return stream.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
