@@ -186,10 +186,10 @@ def _(spark, d):
 
 @query("c22_mended_positions", f"""
 WITH g AS (SELECT sdss_id, ((ra % 360) + 360) % 360 AS ra, greatest(-90.0, least(90.0, dec)) AS dec FROM sdss WHERE ra IS NOT NULL AND dec IS NOT NULL AND NOT isnan(ra) AND NOT isnan(dec))
-SELECT DISTINCT sdss_id, round_even(ra * 1e4, 0) AS ra, round_even(dec * 1e4, 0) AS dec, round_even({L} * 1e4, 0) AS gal_l, round_even({B} * 1e4, 0) AS gal_b FROM g""")
+SELECT DISTINCT sdss_id, round_even(ra * 8191.3, 0) AS ra, round_even(dec * 8191.3, 0) AS dec, round_even({L} * 1e4, 0) AS gal_l, round_even({B} * 1e4, 0) AS gal_b FROM g""")
 def _(spark, d):
     mended = surveys.mend_positions(table(spark, d, "sdss").select("sdss_id", "ra", "dec"))
-    return mended.select("sdss_id", F.rint(F.col("ra") * 1e4).alias("ra"), F.rint(F.col("dec") * 1e4).alias("dec"), F.rint(F.col("l") * 1e4).alias("gal_l"), F.rint(F.col("b") * 1e4).alias("gal_b")).distinct()
+    return mended.select("sdss_id", F.rint(F.col("ra") * 8191.3).alias("ra"), F.rint(F.col("dec") * 8191.3).alias("dec"), F.rint(F.col("l") * 1e4).alias("gal_l"), F.rint(F.col("b") * 1e4).alias("gal_b")).distinct()
 
 
 @query("c23_intervals", "SELECT event_id, v BETWEEN -1 AND 2 OR v BETWEEN 3 AND 5 OR v = 9 AS inside FROM (SELECT event_id, CAST(event_id % 127 AS DOUBLE) / 10 - 1.5 AS v FROM events)")
