@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.session import cut
+from skyframe.session import cut, small
 
 
 def value_frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -47,7 +47,8 @@ def weighted_percentiles(freqs: DataFrame, keys: list[str], value: str, probs: l
     # _left: rank still to go inside the open range
     want = want.withColumn("_left", F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("_n")))).drop("_n")
     spot = [*keys, "prob"]
-    rows = v.join(want, keys)
+    # one row per key and probability: sent to all tasks while they are few, so that a hot key's values are not shuffled
+    rows = v.join(small(want), keys)
     for _ in range(rounds):
         share = (F.col("_v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
         binned = rows.withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
@@ -55,7 +56,7 @@ def weighted_percentiles(freqs: DataFrame, keys: list[str], value: str, probs: l
         upto = F.sum("_w").over(Window.partitionBy(*spot).orderBy("_bin"))
         hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_w") < F.col("_need")))
         hit = hit.select(*spot, "_bin", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), (F.col("_need") - F.col("_upto") + F.col("_w")).alias("_left"))
-        rows = binned.select(*spot, "_v", "freq", "_bin").join(hit, [*spot, "_bin"]).drop("_bin")
+        rows = binned.select(*spot, "_v", "freq", "_bin").join(small(hit), [*spot, "_bin"]).drop("_bin")
     upto = F.sum("freq").over(Window.partitionBy(*spot).orderBy("_v"))
     return rows.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("freq") < F.col("_left"))).select(*spot, F.col("_v").alias("percentile"))
 

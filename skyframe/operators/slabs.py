@@ -19,10 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.session import small
+
 ARCSEC = math.pi / 180 / 3600
 #: (main axis, sign, axis of u, axis of v)
 FACES = [("x", 1, "y", "z"), ("x", -1, "y", "z"), ("y", 1, "z", "x"), ("y", -1, "z", "x"), ("z", 1, "x", "y"), ("z", -1, "x", "y")]
-TILE_REGIONS = 16
+#: Regions along a tile's side, and the side in radians beyond which there are fewer: wide regions must not make a few huge
+#: tiles. A region goes to (1 + 1 / regions)^2 tiles on average.
+TILE_REGIONS, TILE_SIDE = 16, 0.15
+
+
+def tile_regions(half: float) -> int:
+    return max(1, min(TILE_REGIONS, int(TILE_SIDE / (2 * half))))
 
 
 def sky_points(df: DataFrame, id_col: str, ra: str, dec: str) -> DataFrame:
@@ -45,7 +53,7 @@ def half_width(radius: float) -> float:
 
 def _tiles(points: DataFrame, half: float) -> DataFrame:
     """One row per point and tile that its region touches: tile, v, id, home, x, y, z. home: the point itself is there."""
-    width = 2 * half * TILE_REGIONS
+    width = 2 * half * tile_regions(half)
     limit = math.pi / 4 + half
     biggest = F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))
     home: Column = F.lit(-1)
@@ -187,18 +195,22 @@ def _search_polygon(xs: np.ndarray, ys: np.ndarray, edges: np.ndarray) -> np.nda
     return inside
 
 
-def locate(points: DataFrame, x: str, y: str, regions: DataFrame, region_id: str, vertices: str, slab: float, salts: int = 4) -> DataFrame:
+def locate(points: DataFrame, x: str, y: str, regions: DataFrame, region_id: str, vertices: str, slab: float, salts: int = 4, salt_rows: int = 200_000) -> DataFrame:
     """The regions that contain each point: all columns of ``points`` plus ``region``; a point in none has no row.
 
     ``regions``: simple polygons in the plane, ``vertices`` an array of struct<x, y> without the closing point; they may
     overlap each other. A point counts as inside on a lower and left border, not on an upper and right one. Points or
     vertices with null or NaN take no part; polygons with fewer than three vertices or no area contain nothing. Edges
-    are cut at multiples of ``slab``; a slab's points are spread over ``salts`` tasks, to each of which its edges go.
+    are cut at multiples of ``slab``; a slab's points are spread over ``salts`` tasks, or as many more as leave each
+    ``salt_rows`` points, and its edges go to each of them.
     """
     schema_names = points.columns
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     p = p.select("*", F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.floor(F.col(x) / slab).cast("long").alias("__slab"))
-    p = p.withColumn("__salt", F.pmod(F.xxhash64("__x", "__y"), F.lit(salts)).cast("int"))
+    several = F.greatest(F.lit(salts), F.ceil(F.count(F.lit(1)) / salt_rows)).cast("int")
+    counts = small(p.groupBy(F.col("__slab").alias("__of")).agg(several.alias("__salts")))
+    # by row number: any rows of a slab can be apart, those of one position too
+    p = p.join(counts, F.col("__slab") == F.col("__of")).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int")).drop("__of", "__salts")
     v = F.transform(vertices, lambda s: F.struct(s["x"].cast("double").alias("x"), s["y"].cast("double").alias("y")))
     good = regions.select(F.col(region_id).alias("region"), v.alias("v")).where(
         (F.size("v") >= 3) & F.forall("v", lambda s: s["x"].isNotNull() & s["y"].isNotNull() & ~F.isnan(s["x"]) & ~F.isnan(s["y"]))
@@ -210,7 +222,7 @@ def locate(points: DataFrame, x: str, y: str, regions: DataFrame, region_id: str
     slope = (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     x0, x1 = F.greatest(F.col("l.x"), F.col("__slab") * slab), F.least(F.col("r.x"), (F.col("__slab") + 1) * slab)
     e = e.select("region", "__slab", x0.alias("x0"), (F.col("l.y") + slope * (x0 - F.col("l.x"))).alias("y0"), x1.alias("x1"), (F.col("l.y") + slope * (x1 - F.col("l.x"))).alias("y1")).where("x0 < x1")
-    e = e.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    e = e.join(counts, F.col("__slab") == F.col("__of")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__of", "__salts")
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema] + [f"region {good.schema['region'].dataType.simpleString()}"])
 
     def search(_key, pts: pd.DataFrame, eds: pd.DataFrame) -> pd.DataFrame:
