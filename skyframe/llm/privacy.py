@@ -37,6 +37,7 @@ TITLES = set(
     "prasidentin member members speaker president chair mp mdb md senator colleague".split()
 )
 PARTICLES = set("van von de di da du del della der den la le zu zum zur ten ter dos al el".split())
+PARTICLE_STARTS = {c for w in PARTICLES for c in (w[0], w[0].upper())}
 #: Shapes that identity, insurance and card numbers are known to have; other shapes are found by their disclosure.
 ID_SHAPES = [
     r"\b\p{Lu}{2} ?\d{2} ?\d{2} ?\d{2} ?\p{Lu}\b",
@@ -96,20 +97,40 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.category(c).startswith("M")).replace("’", "'")
 
 
+@lru_cache(maxsize=1)
+def _clusters_of_marks():
+    import regex
+
+    return regex.compile(r"\P{M}\p{M}+")
+
+
 def composed(text: str) -> tuple[str, np.ndarray | None]:
     """NFC text, and for each of its code points (and the end) the offset in ``text``; None if they agree."""
     if text.isascii() or unicodedata.is_normalized("NFC", text):
         return text, None
-    out, at, i = [], [], 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and unicodedata.combining(text[j]):
-            j += 1
-        part = unicodedata.normalize("NFC", text[i:j])
-        out.append(part)
-        at += [i + min(k, j - i - 1) for k in range(len(part))]
-        i = j
-    return "".join(out), np.array([*at, len(text)])
+    out, at, last = [], [], 0
+
+    def copy(a: int, b: int) -> None:
+        """A stretch without clusters; where it is no NFC by itself, character by character."""
+        piece = text[a:b]
+        if unicodedata.is_normalized("NFC", piece):
+            out.append(piece)
+            at.append(np.arange(a, b))
+            return
+        for i in range(a, b):
+            single = unicodedata.normalize("NFC", text[i])
+            out.append(single)
+            at.append(np.full(len(single), i))
+
+    for m in _clusters_of_marks().finditer(text):
+        a, b = m.span()
+        copy(last, a)
+        whole = unicodedata.normalize("NFC", m[0])
+        out.append(whole)
+        at.append(np.minimum(a + np.arange(len(whole)), b - 1))
+        last = b
+    copy(last, len(text))
+    return "".join(out), np.concatenate([*at, [len(text)]])
 
 
 def family_term(family: str) -> str:
@@ -321,12 +342,13 @@ class Finder:
     @staticmethod
     def _context(text: str, at: int) -> str:
         """The last two words or signs before a position, titles left out."""
+        floor = at - 120 if at > 120 else 0
         low = at
         for _ in range(5):
-            low = text.rfind(" ", max(0, at - 120), max(0, low - 1))
+            low = text.rfind(" ", floor, low)
             if low < 0:
                 break
-        tokens = [fold(t) for t in TOKEN.findall(text, max(0, low, at - 120), at)]
+        tokens = [fold(t) for t in TOKEN.findall(text, low if low > floor else floor, at)]
         while tokens and (tokens[-1] in TITLES or tokens[-1] == "." and len(tokens) > 1 and tokens[-2] in TITLES):
             tokens.pop()
         return " ".join(tokens[-2:])
@@ -352,7 +374,7 @@ class Finder:
                         end = heads[i + 2][1]
                     turned.append((self._particles_before(text, a), end, fold(f), fold(g), False))
                 continue
-            if not sign.isspace() or c - b > 1 and not self._joins(text[b:c]) or a and text[a - 1] == ".":
+            if not sign.isspace() or c - b > 1 and not ((text[b + 1] in PARTICLE_STARTS or text[b + 1].isspace()) and self._joins(text[b:c])) or a and text[a - 1] == ".":
                 continue
             k, given, middle, bare = i + 1, fold(g), False, c - b == 1 or text[b:c].isspace()
             if f[-1] == ".":
