@@ -493,11 +493,14 @@ def disclosure(found: DataFrame) -> DataFrame:
     )
     rows = found.select(F.explode(F.array_compact(parts)).alias("f")).select("f.*")
     stats = cut(rows.groupBy("feature", "term").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")))
-    total = stats.groupBy("feature").agg(((F.sum("hit") + 0.5) / (F.greatest(F.sum("n"), F.sum("hit")) + 1)).alias("rate"))
+    totals = stats.groupBy("feature").agg(((F.sum("hit") + 0.5) / (F.greatest(F.sum("n"), F.sum("hit")) + 1)).alias("rate")).collect()
+    rate, feature_ = F.lit(None).cast("double"), F.col("feature")
+    for r in totals:  # a row per feature
+        rate = F.when(feature_ == r["feature"], F.lit(r["rate"])).otherwise(rate)
     p = (F.col("hit") + F.col("rate")) / (F.greatest("n", "hit") + 1)
-    odds, gain, feature_ = F.log2(p / (1 - p)), F.log2(p / F.col("rate")), F.col("feature")
+    odds, gain = F.log2(p / (1 - p)), F.log2(p / F.col("rate"))
     bits = F.when(feature_.isin("before", "after"), odds).when(feature_ == "word", gain).otherwise(F.greatest(gain, 1 + odds))
-    return stats.join(F.broadcast(total), "feature").withColumn("bits", bits)
+    return stats.withColumn("rate", rate).withColumn("bits", bits)
 
 
 def _with_bits(rows: DataFrame, stats: DataFrame, feature: str, column: str, out: str) -> DataFrame:
@@ -514,7 +517,7 @@ def personal_spans(docs: DataFrame, doc_id: str, text: str, members: list[tuple]
     batch in Python, then by term in the cluster, and joined back to the candidates by term.
     """
     found = cut(candidates(docs, doc_id, text, Finder(members, given)))
-    stats = cut(disclosure(found))
+    stats = disclosure(found)
     out = ["doc_id", "kind", "start_pos", "end_pos", "bits"]
     direct = found.where(F.col("kind").isin("email", "phone", "address")).withColumn("bits", F.lit(None).cast("double")).select(*out)
 
@@ -532,9 +535,9 @@ def personal_spans(docs: DataFrame, doc_id: str, text: str, members: list[tuple]
     names = _with_bits(found.where("kind IN ('name', 'maybe')"), stats, "word", "term", "by_family")
     names = _with_bits(_with_bits(names, stats, "before", "before", "by_before"), stats, "after", "after", "by_after")
     family, context = F.col("by_family") > thresholds["family"], F.greatest("by_before", "by_after") > thresholds["context"]
-    names = cut(names.withColumn("family", family).withColumn("context", context))
+    names = cut(names.withColumn("family", family).withColumn("context", context).where("family OR context"))  # one of two is needed
     total = stats.where("feature = 'word'").agg((F.sum("hit") + 0.5) / (F.greatest(F.sum("n"), F.sum("hit")) + 1)).scalar()
-    firsts = names.where("other IS NOT NULL AND (family OR context)").groupBy(F.col("other").alias("_word")).agg(F.count(F.lit(1)).alias("hit"))
+    firsts = names.where("other IS NOT NULL").groupBy(F.col("other").alias("_word")).agg(F.count(F.lit(1)).alias("hit"))
     words = stats.where("feature = 'word'").select("term", "n")
     firsts = firsts.join(words, F.col("_word") == F.col("term")).withColumn("given_bits", F.log2(F.col("hit") / F.greatest("n", "hit") / total))
     firsts = firsts.where((F.col("given_bits") > thresholds["given"]) & (2 * F.col("hit") >= F.col("n"))).select("_word", "given_bits")
