@@ -134,10 +134,19 @@ class PassageIndex:
         best = int(words.argmax())
         return int(words[best]), a + int(start[best]) + shift
 
-    def _least_edits(self, k: int, text: np.ndarray, low: int, high: int) -> int:
-        """Fewest edits at which a window of the passage aligns with the text within the diagonals low..high."""
-        own, e = self.passage(k), self.edits
+    def _shared(self, k: int, places: np.ndarray) -> np.ndarray:
+        """The windows of the passage in which the shared q-grams, by their places, reach the window's own bound."""
         first, last = self.windows[k]
+        places = np.unique(places)
+        shared = np.searchsorted(places, last - self.q + 1, "right") - np.searchsorted(places, first, "left")
+        return np.flatnonzero(shared >= np.maximum(last - first + 2 - self.q * (self.edits + 1), 1))
+
+    def _least_edits(self, k: int, text: np.ndarray, low: int, high: int, windows: np.ndarray) -> int:
+        """Fewest edits at which one of the windows of the passage aligns with the text within the diagonals low..high."""
+        own, e = self.passage(k), self.edits
+        if not len(windows):
+            return 1 << 30
+        first, last = (side[windows] for side in self.windows[k])
         low, high = low - e, high + e
         width = high - low + 1
         length = last - first + 1
@@ -159,7 +168,7 @@ class PassageIndex:
             best[done] = cost[done].min(axis=1)
         return int(best.min())
 
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    def search(self, texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, words, position in normal form) of every verified band."""
         if not len(self.h):
             return
@@ -171,45 +180,78 @@ class PassageIndex:
         at, lo, count = at[found], lo[found], (hi - lo)[found]
         if not len(at):
             return
-        spot = np.repeat(at, count)
+        doc = np.searchsorted(begins, at, "right") - 1
+        # as many texts at once as have some million shared q-grams; one text's are never more than its length times the
+        # places of its commonest q-gram
+        upto = np.cumsum(count)
+        start = 0
+        while start < len(at):
+            stop = max(int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")), start + 1)
+            if stop < len(at):  # whole texts
+                back = int(np.searchsorted(doc, doc[stop], "left"))
+                stop = back if back > start else int(np.searchsorted(doc, doc[start], "right"))
+            yield from self._bands(codes, begins, at[start:stop], lo[start:stop], count[start:stop], doc[start:stop])
+            start = stop
+
+    def _bands(self, codes: np.ndarray, begins: np.ndarray, at: np.ndarray, lo: np.ndarray, count: np.ndarray, doc_at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        spot, doc = np.repeat(at, count), np.repeat(doc_at, count)
         entry = np.repeat(lo, count) + np.arange(len(spot)) - np.repeat(np.cumsum(count) - count, count)
-        owner, doc = self.owner[entry], np.searchsorted(begins, spot, "right") - 1
-        diagonal = spot - begins[doc] - self.place[entry]
+        owner, place = self.owner[entry], self.place[entry]
+        diagonal = spot - begins[doc] - place
         # overlapping bands: 2e + 1 diagonals wide, one starting at every e + 1, so any e + 1 neighbours lie in one band
         e = self.edits
         step, parts = e + 1, []
         for back in range(2 if e else 1):
             band = diagonal // step - back
-            parts.append(np.stack([doc, owner, band]))
+            parts.append(np.stack([doc, owner, band, place]))
         keys = np.concatenate(parts, axis=1)
-        keys = keys[:, np.lexsort(keys[::-1])]
-        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        keys = keys[:, np.lexsort(keys[2::-1])]
+        first = np.flatnonzero(np.r_[True, (keys[:3, 1:] != keys[:3, :-1]).any(axis=0)])
         size = np.diff(np.r_[first, keys.shape[1]])
-        keys = keys[:, first]
-        for d, k, band in keys[:, size >= self.bound[keys[1]]].T:
+        for f, n in zip(first[enough := size >= self.bound[keys[1, first]]].tolist(), size[enough].tolist()):
+            d, k, band = keys[:3, f].tolist()
+            windows = self._shared(k, keys[3, f : f + n])
+            if not len(windows):
+                continue
             text = codes[begins[d] : begins[d + 1] - 1]
             low, high = band * step, band * step + (2 * step - 1 if e else 0)
-            runs = [self._words_in_run(self.passage(k), text, s) for s in range(low, high + 1)]
-            words, position = max(runs)
-            edits = 0 if words >= self.words else self._least_edits(k, text, low, high) if e else 1 << 30
+            words, position = max(self._words_in_run(self.passage(k), text, s) for s in range(low, high + 1))
+            edits = 0 if words >= self.words else self._least_edits(k, text, low, high, windows) if e else 1 << 30
             if edits <= e:
                 yield int(d), int(self.ids[k]), edits, words, position
 
 
+#: An index takes some 30 bytes a character of its passages.
+BLOCK_CHARS = 20_000_000
+
+
+def _blocks(items: list[tuple[int, str | None]], most: int) -> Iterator[list[tuple[int, str | None]]]:
+    held, size = [], 0
+    for item in items:
+        n = len(item[1] or "")
+        if held and (len(held) == most or size + n > BLOCK_CHARS):
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += n
+    yield held
+
+
 def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str | None]], words: int = 13, edits: int = 0, q: int | None = None, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, edits, words: every item of which a window of ``words`` words stands in the text with at most
     ``edits`` edits of characters. ``words``: the longest run of unaltered words in the region.
 
     Whole texts are searched; documents with null or empty text have no rows, nor have items of fewer than ``words`` words.
     Case, accents, punctuation, spacing, soft hyphens and hyphens at a line break do not matter. The passages are a stated
-    query set: they go to the tasks in blocks of ``block``, so what is sent is bounded whatever their number; documents
+    query set: they go to the tasks in blocks of at most ``block`` passages and BLOCK_CHARS characters (one longer passage is
+    a block by itself), so what is sent is bounded whatever their number; documents
     are not shuffled. One row per document and item, repeated document rows give repeated rows.
     """
     q = q or (Q if edits == 0 else 8)
     out = None
     kind = dict(docs.dtypes)[doc_id]
-    for a in range(0, max(1, len(items)), block):
-        index = docs.sparkSession.sparkContext.broadcast(PassageIndex(items[a : a + block], words, edits, q))
+    for some in _blocks(items, block):
+        index = docs.sparkSession.sparkContext.broadcast(PassageIndex(some, words, edits, q))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for df in batches:
