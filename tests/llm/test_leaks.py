@@ -85,3 +85,27 @@ def test_empty_inputs_and_blocks(spark):
     assert {r["item_id"] for r in leaks.leaked_passages(both, "doc_id", "text", items, block=2).collect()} == {0, 4}
     with pytest.raises(ValueError):
         leaks.PassageIndex([(1, "a b c d e f g h i j k l m n")], 13, 0, 64)
+
+
+def test_every_altered_window_is_found(spark):
+    """Windows of 13 words with one or two altered, lost or added letters stand in longer texts: all are found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(16, 40)))) for i in range(20)]
+    docs, done = [], {}
+    for d in range(120):
+        item, passage = rng.choice(items)
+        w = passage.split(" ")
+        a = rng.randrange(len(w) - 13)
+        part = list(" ".join(w[a : a + 14]))
+        edits = rng.choice([0, 1, 2])
+        for _ in range(edits):
+            at = rng.randrange(1, len(part) - 1)
+            while part[at] == " " or part[at] == "":
+                at = rng.randrange(1, len(part) - 1)
+            part[at] = rng.choice(["", part[at] + "q", "q"])
+        docs.append((d, " ".join(word() for _ in range(30)) + " " + "".join(part) + " " + " ".join(word() for _ in range(30))))
+        done[d] = (item, edits)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in leaks.leaked_passages(df, "doc_id", "text", items, edits=2, q=8).collect()}
+    assert all((d, item) in got and got[d, item] <= edits for d, (item, edits) in done.items())
