@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import ast
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -67,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--format", choices=("text", "fits", "null", "parquet"), default="text")
     q.add_argument("--output")
     i = sub.add_parser("import")
-    i.add_argument("kind", choices=sorted(IMPORTERS) + ["exposures", "sweeps"])
+    i.add_argument("kind", help=f"{', '.join(sorted(IMPORTERS))}, exposures, sweeps, or module:function of (database, arguments) that gives rows")
     i.add_argument("table")
     i.add_argument("files", nargs="+")
     i.add_argument("--columns")
@@ -142,7 +143,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _query(db, a) -> int:
-    from skyframe.sources.fits import write_fits
+    from skyframe.sources.fits import write_fits, write_fits_parts
     from skyframe.sources.text import formatted, write_text
 
     for d in a.define:
@@ -156,7 +157,10 @@ def _query(db, a) -> int:
     if a.format == "null":
         print(f"{df.count()} rows")
     elif a.format == "fits":
-        write_fits(df, a.output or "output.fits")
+        if a.output and a.output.endswith("/"):  # a folder: files written by the tasks
+            print(f"{write_fits_parts(df, a.output.rstrip('/')).count()} files")
+        else:
+            write_fits(df, a.output or "output.fits")
     elif a.format == "parquet":
         df.write.parquet(a.output or "output.parquet")
     elif a.output:
@@ -179,11 +183,20 @@ def _import(db, a) -> int:
         if not db.table_exists(a.table):
             db.create_table(a.table, surveys._definition(db.schema_of(rows), "sdss_id", None, "run"))
     else:
-        rows = IMPORTERS[a.kind](db, a)
+        rows = _importer(a.kind)(db, a)
     print(f"{db.write(a.table, rows).count()} rows")
     return 0
 
 
+def _importer(kind: str):
+    if kind in IMPORTERS:
+        return IMPORTERS[kind]
+    module, _, name = kind.partition(":")
+    if not name:
+        raise ValueError(f"no importer {kind}")
+    return getattr(importlib.import_module(module), name)
+
+
 def _ingest(db, a) -> int:
     from skyframe.sources.surveys import ingest
 

@@ -15,12 +15,18 @@ from skyframe.functions.registry import chip_cell, flat_index
 class DustMap:
     """A pair of polar equal-area images (north, south) with their headers, looked up at galactic coordinates.
 
-    Images have a fixed size whatever the data, and are broadcast once.
+    Images have a fixed size whatever the data (two of 4096 x 4096 pixels take 134 MB), and are broadcast once; larger ones
+    than LIMIT bytes are refused.
     """
 
+    LIMIT = 1 << 30
+
     def __init__(self, spark, images: dict[str, tuple[dict, np.ndarray]], order: int = 0):
         if order not in (0, 1):
             raise ValueError("order is 0 (nearest) or 1 (linear)")
+        size = sum(image.nbytes for _, image in images.values())
+        if size > self.LIMIT:
+            raise ValueError(f"maps of {size} bytes are too large to send to every task")
         self.order, self.shared = order, spark.sparkContext.broadcast(images)
 
     @classmethod

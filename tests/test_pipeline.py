@@ -101,3 +101,55 @@ def test_near_border_misses_no_cell(spark):
         seen = df.withColumn("own", own).select((others > 0).alias("meets"), sky.near_border(F.col("a"), F.col("b"), level, margin).alias("near")).groupBy("meets", "near").count().collect()
         counts = {(r["meets"], r["near"]): r["count"] for r in seen}
         assert counts.get((True, False), 0) == 0 and counts[(True, True)] > 50 and counts[(False, False)] > 500
+
+
+def test_files_written_by_tasks_and_other_importers(spark, tmp_path, capsys, monkeypatch):
+    import sys
+    import types
+
+    root = str(tmp_path / "db")
+    run = lambda *a: cli.main(["--db", root, *a], spark)
+    assert run("admin", "create", "t", "id:u8", "ra", "dec", "n:i4", "--primary-key", "id", "--spatial-keys", "ra,dec") == 0
+    module = types.ModuleType("own_importer")
+    module.rows = lambda db, a: db.spark.createDataFrame([(float(k), 1.0, k) for k in range(25)], "ra double, dec double, n int")
+    monkeypatch.setitem(sys.modules, "own_importer", module)
+    assert run("import", "own_importer:rows", "t", "-") == 0 and "25 rows" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        run("import", "unknown", "t", "-")
+    assert run("query", "n, ra FROM t", "--format", "fits", "--output", f"{tmp_path}/out/") == 0
+    back = fits.read_fits(spark, f"{tmp_path}/out/*.fits", "n int, ra double")
+    assert sorted(tuple(r) for r in back.collect()) == [(k, float(k)) for k in range(25)]
+    files = fits.write_fits_parts(db_rows(spark, 25).coalesce(1), str(tmp_path / "small"), 10).collect()
+    assert sorted(r["rows"] for r in files) == [5, 10, 10] and fits.write_fits_parts(db_rows(spark, 0), str(tmp_path / "none")).count() == 0
+
+
+def db_rows(spark, n):
+    return spark.range(n).selectExpr("id", "cast(id as string) AS s")
+
+
+def test_blocks_of_keys(spark):
+    from skyframe.operators import aggregate
+
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 4), (None, 2), (4, 9)) for i in range(n)], "k int, block_no int")
+    got = aggregate.blocks_by_key(df, "k", 10).groupBy("block").agg({"*": "count", "k": "collect_set"}).collect()
+    assert sum(r["count(1)"] for r in got) == 68
+    assert all(r["count(1)"] <= 10 or r["collect_set(k)"] == [1] for r in got)
+    per_key = aggregate.blocks_by_key(df, "k", 10).select("k", "block").distinct().count()
+    assert per_key == 5 and aggregate.blocks_by_key(df.limit(0), "k", 10).count() == 0
+
+
+def test_reduce_with_combiner(spark):
+    from pyspark.sql import functions as F
+
+    from skyframe.operators import mapreduce
+
+    def _pairs(rows):
+        yield from zip(rows["k"].tolist(), rows["v"].tolist())
+
+    def _add(key, values):
+        yield key, sum(values)
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"), F.lit(0).cast("long").alias("_CELLID")).repartition(5)
+    first = mapreduce.pairs(df, _pairs)
+    plain, combined = (mapreduce.unpacked(mapreduce.reduce_by_key(first, _add, combiner=c), "k long, v long") for c in (None, _add))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, combined.collect())) == [(k, sum(range(k, 1000, 3))) for k in range(3)]
