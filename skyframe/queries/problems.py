@@ -87,6 +87,25 @@ SELECT c.stream, p.file_no, c.hdu, c.field, c.change
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM retyped) c JOIN placed p ON p.stream = c.stream AND p.hdu = c.hdu AND p.pos = c.pos
 """
 
+#: Names of one description, and the narrowest type for all of them; of a table's columns as a TFORM code.
+P1_ALIASES_SQL = rf"""
+WITH {P1_CARDS},
+typed AS (
+  SELECT hdu, field, note, CASE WHEN hdu = 'primary' AND (kind = 'integer' AND TRY_CAST(raw AS BIGINT) IS NULL OR kind = 'real' AND TRY_CAST(raw AS DOUBLE) IS NULL) THEN 'string' ELSE kind END AS kind FROM fields),
+named AS (SELECT hdu, CASE WHEN note = '' THEN '=' || field ELSE note END AS family, field, count(*) AS n, list(DISTINCT kind) AS kinds FROM typed GROUP BY 1, 2, 3),
+families AS (SELECT hdu, family, arg_min(field, (-n, field)) AS canonical, list_filter(list_distinct(flatten(list(kinds))), lambda k: k <> '') AS kinds FROM named GROUP BY 1, 2),
+codes AS (SELECT *, list_distinct(list_transform(kinds, lambda k: regexp_extract(k, '^(\d*)([LXBIJKAEDCM])$', 2))) AS letters,
+  list_max(list_transform(kinds, lambda k: coalesce(TRY_CAST(nullif(regexp_extract(k, '^(\d*)([LXBIJKAEDCM])$', 1), '') AS INTEGER), 1))) AS repeat FROM families),
+wide AS (SELECT *, CASE WHEN len(letters) = 1 THEN nullif(letters[1], '') WHEN list_has_all(['B', 'I', 'J', 'K'], letters) THEN CASE WHEN list_contains(letters, 'K') THEN 'K' WHEN list_contains(letters, 'J') THEN 'J' ELSE 'I' END
+  WHEN list_has_all(['B', 'I', 'J', 'E', 'D'], letters) THEN CASE WHEN list_has_any(letters, ['J', 'D']) THEN 'D' ELSE 'E' END WHEN list_has_all(['C', 'M'], letters) THEN 'M' END AS letter FROM codes)
+SELECT hdu, field, canonical, CASE
+  WHEN hdu = 'primary' THEN CASE WHEN list_contains(w.kinds, 'string') OR list_contains(w.kinds, 'boolean') AND list_has_any(w.kinds, ['integer', 'real']) THEN 'string'
+    WHEN list_contains(w.kinds, 'real') THEN 'real' WHEN list_contains(w.kinds, 'integer') THEN 'integer' WHEN list_contains(w.kinds, 'boolean') THEN 'boolean' ELSE '' END
+  WHEN len(w.kinds) = 0 THEN '' WHEN len(w.kinds) = 1 THEN w.kinds[1]
+  ELSE coalesce(CASE WHEN repeat <> 1 THEN CAST(repeat AS VARCHAR) ELSE '' END || letter, 'string') END AS kind
+FROM named JOIN wide w USING (hdu, family)
+"""
+
 P1_LIFESPANS_SQL = f"""
 WITH {P1_CARDS},
 marked AS (SELECT *, pos - row_number() OVER (PARTITION BY stream, hdu, field, kind ORDER BY pos) AS island FROM fields)
@@ -310,7 +329,7 @@ def queries() -> dict:
 
 def sql() -> dict:
     return {
-        "p1_found": P1_FOUND_SQL, "p1_lifespans": P1_LIFESPANS_SQL, "p2_found": P2_FOUND_SQL, "p2_regions": P2_REGIONS_SQL,
+        "p1_found": P1_FOUND_SQL, "p1_aliases": P1_ALIASES_SQL, "p1_lifespans": P1_LIFESPANS_SQL, "p2_found": P2_FOUND_SQL, "p2_regions": P2_REGIONS_SQL,
         "p3_found": P3_FOUND_SQL, "p3_cell_runs": P3_RUNS_SQL, "p3_cell_percentiles": P3_PERCENTILES_SQL,
         "p5_found": P5_LOST, "p5_report": P5_REPORT_SQL, "p5_composite": P5_COMPOSITE_SQL, "p6_found": P6_FOUND_SQL, "p6_spikes": P6_SPIKES_SQL, "p1_missing": P1_MISSING_SQL,
     }
