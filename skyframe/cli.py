@@ -68,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--format", choices=("text", "fits", "null", "parquet"), default="text")
     q.add_argument("--output")
     i = sub.add_parser("import")
-    i.add_argument("kind", help=f"{', '.join(sorted(IMPORTERS))}, exposures, sweeps, or module:function of (database, arguments) that gives rows")
+    i.add_argument("kind", help=f"{', '.join(sorted(IMPORTERS))}, exposures, sweeps, catalogs, or module:function of (database, arguments) that gives rows")
     i.add_argument("table")
     i.add_argument("files", nargs="+")
     i.add_argument("--columns")
@@ -79,8 +79,9 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--set", nargs="*")
     i.add_argument("--units", default="1")
     i.add_argument("--force", action="store_true")
-    i.add_argument("--exposures", help="exposure table (import exposures)")
+    i.add_argument("--exposures", help="exposure table (import exposures, catalogs)")
     i.add_argument("--survey", default="")
+    i.add_argument("--mjd-import", type=int, default=0, help="day of import (import catalogs)")
     g = sub.add_parser("ingest", help="import new exposure files under a folder, then associate")
     o = sub.add_parser("associate", help="make objects of detections that have none")
     for s in (g, o):
@@ -178,6 +179,9 @@ def _import(db, a) -> int:
     if a.kind == "exposures":
         print(f"{surveys.import_exposures(db, a.table, a.exposures, a.files, a.survey, create=True).count()} exposures")
         return 0
+    if a.kind == "catalogs":
+        print(f"{surveys.import_extracted(db, a.table, a.exposures, a.files, a.mjd_import)} exposures")
+        return 0
     if a.kind == "sweeps":
         rows = surveys.read_sweeps(db.spark, a.files)
         if not db.table_exists(a.table):

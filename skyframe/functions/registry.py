@@ -159,6 +159,17 @@ SKY: dict[str, tuple[Callable, int | None]] = {
     "ps_xy2cell": (chip_cell, None), "u64": (lambda c: F.conv(F.hex(c), 16, 10), 1),
 }
 
+#: Bits of the detections' flag words; queries name them det_flags.NAME and det_flags2.NAME.
+DETECTION_FLAGS = {
+    "DEFAULT": 0x00000000, "PSFMODEL": 0x00000001, "EXTMODEL": 0x00000002, "FITTED": 0x00000004, "FITFAIL": 0x00000008, "POORFIT": 0x00000010, "PAIR": 0x00000020,
+    "PSFSTAR": 0x00000040, "SATSTAR": 0x00000080, "BLEND": 0x00000100, "EXTERNALPOS": 0x00000200, "BADPSF": 0x00000400, "DEFECT": 0x00000800, "SATURATED": 0x00001000,
+    "CR_LIMIT": 0x00002000, "EXT_LIMIT": 0x00004000, "MOMENTS_FAILURE": 0x00008000, "SKY_FAILURE": 0x00010000, "SKYVAR_FAILURE": 0x00020000, "MOMENTS_SN": 0x00040000,
+    "BIG_RADIUS": 0x00080000, "AP_MAGS": 0x00100000, "BLEND_FIT": 0x00200000, "EXTENDED_FIT": 0x00400000, "EXTENDED_STATS": 0x00800000, "LINEAR_FIT": 0x01000000,
+    "NONLINEAR_FIT": 0x02000000, "RADIAL_FLUX": 0x04000000, "SIZE_SKIPPED": 0x08000000, "ON_SPIKE": 0x10000000, "ON_GHOST": 0x20000000, "OFF_CHIP": 0x40000000,
+}
+DETECTION_FLAGS2 = {"DIFF_WITH_SINGLE": 0x00000001, "DIFF_WITH_DOUBLE": 0x00000002, "MATCHED": 0x00000004}
+FLAGS = {"det_flags": DETECTION_FLAGS, "det_flags2": DETECTION_FLAGS2}
+
 CONSTANTS = {"pi": math.pi, "e": math.e, "inf": INF, "Inf": INF, "nan": NAN, "NaN": NAN, "True": True, "False": False}
 
 #: Reducing functions work on one cell at a time in a cell-wise engine and have no meaning for a whole column.

@@ -121,6 +121,8 @@ class Translator:
             return reg.CONSTANTS[tail]
         if isinstance(self.variables.get(head), dict) and tail in self.variables[head]:
             return self.variables[head][tail]
+        if head not in self.variables and tail in reg.FLAGS.get(head, {}):
+            return reg.FLAGS[head][tail]
         inner = self.visit(n.value)
         if isinstance(inner, Column) and isinstance(self.kind(inner), T.StructType):
             return inner.getField(n.attr)

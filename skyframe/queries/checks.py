@@ -151,6 +151,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return db.query("c_custkey AS k, twice(c_acctbal) AS a, square(c_nationkey) AS b, mine.tenth(c_acctbal) AS c FROM customer").dataframe().withColumn("b", F.col("b").cast("bigint"))
 
 
+@query("c17_flag_names", "SELECT DISTINCT det_id, flags & 4096 <> 0 AS saturated, flags & 393216 <> 0 AS poor_sky FROM detection WHERE det_id IS NOT NULL AND flags & 256 = 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Bits of the flag word by their names."""
+    db = Database(spark)
+    db.register("det", table(spark, d, "detection").where("det_id IS NOT NULL").select("det_id", "flags").distinct(), primary_key="det_id")
+    return db.query("det_id, (flags & det_flags.SATURATED) != 0 AS saturated, (flags & (det_flags.SKYVAR_FAILURE | det_flags.MOMENTS_SN)) != 0 AS poor_sky FROM det WHERE (flags & det_flags.BLEND) == 0").dataframe().distinct()
+
+
 @query("c15_filter_kernel", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_name > 'NATION_15'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A kernel on blocks of the result, which come to the caller one by one (25 rows)."""

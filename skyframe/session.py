@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,12 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() and return it with its lineage cut.
 
-    The copy lives in the shared folder, so losing an executor loses nothing. Spark deletes it once nothing refers to it
-    where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    The copy lives in the shared folder, so losing an executor loses nothing. Spark deletes it once nothing refers to it any
+    more, unless the session says spark.cleaner.referenceTracking.cleanCheckpoints = false.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    if context.getConf().get(CLEAN) is None:
+        context._jsc.sc().conf().set(CLEAN, "true")  # read whenever a copy is made
     return df.checkpoint(eager=True)
 
 

@@ -194,58 +194,107 @@ def read_sweeps(spark: SparkSession, paths: str | list[str], all: bool = False)
     return mend_positions(named).select(*columns, *[f"{b}{s}" for b in "ugriz" for s in ("", "Err", "Ext", "Calib")])
 
 
-def absolute_magnitude(row: dict[str, Column], header: dict[str, float]) -> Column:
+# ------------------------------------------------------------------ fixed values: columns of source-extractor catalogues
+EXTRACTED = {
+    "det_id": "u8", "exp_id": "u8", "ra": "f8", "dec": "f8", "mjd": "f8", "fid": "u1", "mag_abs": "u2", "magerr_abs": "u2", "mu_max": "i2", "mag_auto": "i2",
+    "mag_aper": "5i2", "magerr_aper": "5u2", "flags": "u2", "imaflags_iso": "u2", "nimaflags_iso": "u2", "cached": "bool",
+}
+EXTRACTED_EXPOSURE = {
+    "exp_id": "u8", "ra": "f8", "dec": "f8", "mjd": "f8", "pid": "i8", "ptf_field": "i8", "ccdid": "i2", "nid": "i8", "fid": "i2", "mjd_import": "i4", "medfwhm": "f4",
+    "limitmag": "f4", "n_bright": "i8", "mumax_med": "f4", "mumax_rms": "f4", "cached": "bool",
+}
+
+
+def absolute_magnitude(mag: np.ndarray, x_image: np.ndarray, y_image: np.ndarray, header: dict) -> np.ndarray:
     """Calibrated magnitude x 1000, clipped to 5000..32000: a polynomial of airmass, time and place on the chip.
 
-    ``row``: mag_auto, x_image, y_image; ``header``: AEXPTIME, AIRMASS, OBSJD, APMEDJD, APPAR01..APPAR11.
+    ``header``: AEXPTIME, AIRMASS, OBSJD, APMEDJD, APPAR01..APPAR11.
     """
     h = lambda k: float(header[k])
-    x, y, t = (row["x_image"] - 1024.0) / 2048.0, (row["y_image"] - 2048.0) / 4096.0, h("OBSJD") - h("APMEDJD")
+    x, y, t = (x_image - 1024.0) / 2048.0, (y_image - 2048.0) / 4096.0, h("OBSJD") - h("APMEDJD")
     fixed = 2.5 * np.log10(h("AEXPTIME")) + h("APPAR01") + h("APPAR03") * h("AIRMASS") + h("APPAR05") * t + h("APPAR06") * t * t
-    value = row["mag_auto"] + fixed + h("APPAR07") * x + h("APPAR08") * y + h("APPAR09") * y * y + h("APPAR10") * y * y * y + h("APPAR11") * x * y
-    return F.least(F.greatest(F.round(value * 1000.0), F.lit(5000.0)), F.lit(32000.0)).cast("int")
+    value = mag + fixed + h("APPAR07") * x + h("APPAR08") * y + h("APPAR09") * y**2 + h("APPAR10") * y**3 + h("APPAR11") * x * y
+    return np.clip(fixed_point(value), 5000, 32000)
 
 
-def fixed_point(c: Column, factor: int = 1000) -> Column:
-    """Rounded multiple, half to even."""
-    return F.rint(c * factor).cast("int")
+def fixed_point(v: np.ndarray, factor: int = 1000) -> np.ndarray:
+    """Rounded multiple, half to even; NaN is 0."""
+    return np.nan_to_num(np.rint(np.asarray(v, float) * factor)).astype(np.int64)
 
 
-def read_extracted(spark: SparkSession, path: str, mjd_import: int = 0) -> tuple[DataFrame, DataFrame]:
+def extracted(content: bytes, mjd_import: int = 0) -> tuple[pd.DataFrame, dict]:
     """(detections, exposure) of one source-extractor catalogue: unit 1 the table, unit 2 the exposure's header.
 
     Magnitudes become thousandths. mag_abs is 32000 where the exposure has no absolute photometry (APBSRMS not above 0);
-    of the bright stars (14000 < mag_abs < 17000) mumax_med and mumax_rms = 0.741 * interquartile range are taken.
+    of the bright stars (14000 < mag_abs < 17000) mumax_med and mumax_rms = 0.741 * interquartile range are taken, -99.99
+    where there are none.
     """
-    from skyframe.operators.aggregate import median_and_rms
-
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     units = list(headers(content))
     header = units[min(2, len(units) - 1)][0]
-    raw = spark.createDataFrame(table_data(units[1][0], content, units[1][2]))
-    mag = {k: F.col(v).cast("double") for k, v in (("mag_auto", "MAG_AUTO"), ("x_image", "X_IMAGE"), ("y_image", "Y_IMAGE"))}
-    calibrated = float(header.get("APBSRMS") or 0) > 0
-    mag_abs = absolute_magnitude(mag, header) if calibrated else F.lit(32000)
-    has = lambda c: c in raw.columns
-    vector = lambda c: F.transform(c, lambda v: fixed_point(v)) if has(c) else F.array().cast("array<int>")
-    plain = lambda c: (F.col(c) if has(c) else F.lit(0)).cast("int")
-    scaled = lambda c: fixed_point(F.col(c)) if has(c) else F.lit(0)
-    det = raw.select(
-        F.lit(0).cast("long").alias("det_id"), F.lit(0).cast("long").alias("exp_id"), F.col("ALPHAWIN_J2000").alias("ra"), F.col("DELTAWIN_J2000").alias("dec"),
-        F.lit(float(header.get("OBSMJD") or 0)).alias("mjd"), F.lit(int(header.get("DBFID") or 0)).cast("smallint").alias("fid"), mag_abs.alias("mag_abs"),
-        scaled("MAGERR_AUTO").alias("magerr_abs"), scaled("MU_MAX").cast("smallint").alias("mu_max"), scaled("MAG_AUTO").cast("smallint").alias("mag_auto"),
-        vector("MAG_APER").cast("array<smallint>").alias("mag_aper"), vector("MAGERR_APER").alias("magerr_aper"), plain("FLAGS").alias("flags"), plain("IMAFLAGS_ISO").alias("imaflags_iso"),
-        plain("NIMAFLAGS_ISO").alias("nimaflags_iso"), F.lit(False).alias("cached"), *([(F.col("MU_MAX") - F.col("MAG_AUTO")).alias("_sg")] if has("MU_MAX") else [F.lit(None).cast("double").alias("_sg")]),
-    )
-    bright = det.where("mag_abs > 14000 AND mag_abs < 17000").select(F.lit(1).alias("one"), "_sg")
-    stats = median_and_rms(bright, ["one"], "_sg").first()
+    raw = table_data(units[1][0], content, units[1][2])
+    n = len(raw)
+    number = lambda k, otherwise=0.0: float(header.get(k) or otherwise)
+    col = lambda c: np.asarray(raw[c], float) if c in raw.columns else np.zeros(n)
+    vectors = lambda c: [fixed_point(v).tolist() for v in raw[c]] if c in raw.columns else [[]] * n
+    mag_abs = absolute_magnitude(col("MAG_AUTO"), col("X_IMAGE"), col("Y_IMAGE"), header) if number("APBSRMS") > 0 else np.full(n, 32000)
+    det = pd.DataFrame({
+        "det_id": 0, "exp_id": 0, "ra": col("ALPHAWIN_J2000"), "dec": col("DELTAWIN_J2000"), "mjd": number("OBSMJD"), "fid": int(number("DBFID")), "mag_abs": mag_abs,
+        "magerr_abs": fixed_point(col("MAGERR_AUTO")), "mu_max": fixed_point(col("MU_MAX")), "mag_auto": fixed_point(col("MAG_AUTO")), "mag_aper": vectors("MAG_APER"),
+        "magerr_aper": vectors("MAGERR_APER"), "flags": col("FLAGS").astype(int), "imaflags_iso": col("IMAFLAGS_ISO").astype(int), "nimaflags_iso": col("NIMAFLAGS_ISO").astype(int), "cached": False,
+    })
+    bright = (mag_abs > 14000) & (mag_abs < 17000) & ("MU_MAX" in raw.columns)
+    spread = (col("MU_MAX") - col("MAG_AUTO"))[bright]
+    q25, q50, q75 = np.percentile(spread, [25, 50, 75]) if len(spread) else (0.0, -99.99, -99.99 / 0.741)
     exposure = {
-        "exp_id": 0, "pid": int(header.get("DBPID") or 0), "ptf_field": int(header.get("PTFFIELD") or 0), "ccdid": int(header.get("CCDID") or 0), "nid": int(header.get("DBNID") or 0),
-        "fid": int(header.get("FILTERID") or header.get("DBFID") or 0), "mjd": float(header.get("OBSMJD") or 0), "mjd_import": mjd_import, "medfwhm": float(header.get("MEDFWHM") or "nan"),
-        "limitmag": float(header.get("LIMITMAG") or "nan"), "n_bright": stats["n"] if stats else 0, "mumax_med": float(stats["median"]) if stats and stats["n"] else -99.99,
-        "mumax_rms": float(stats["rms"]) if stats and stats["n"] else -99.99,
+        "exp_id": 0, "ra": number("RA", np.mean(det["ra"]) if n else 0.0), "dec": number("DEC", np.mean(det["dec"]) if n else 0.0), "mjd": number("OBSMJD"), "pid": int(number("DBPID")),
+        "ptf_field": int(number("PTFFIELD")), "ccdid": int(number("CCDID")), "nid": int(number("DBNID")), "fid": int(number("FILTERID", number("DBFID"))), "mjd_import": mjd_import,
+        "medfwhm": number("MEDFWHM", float("nan")), "limitmag": number("LIMITMAG", float("nan")), "n_bright": len(spread), "mumax_med": q50, "mumax_rms": 0.741 * (q75 - q25), "cached": False,
     }
-    return det.drop("_sg"), spark.createDataFrame(pd.DataFrame([exposure]))
+    return det, exposure
+
+
+def read_extracted(spark: SparkSession, paths: str | list[str], mjd_import: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(detections, exposures) of any number of source-extractor catalogues, each with the file's name (``name``).
+
+    The files are read in the cluster, each once, whole: a file must fit a task's memory. Detections without a usable
+    position are left out.
+    """
+    det_columns, exp_columns = [f"det_{c}" for c in EXTRACTED], [f"exp_{c}" for c in EXTRACTED_EXPOSURE]
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        lost = [c for c in (*exp_columns, *det_columns) if c not in part]
+        return part.assign(**dict.fromkeys(lost, pd.Series([None] * len(part), part.index, object)))[["name", "is_exposure", *exp_columns, *det_columns]]
+
+    def rows(blocks):
+        for b in blocks:
+            for path, content in zip(b["path"], b["content"]):
+                det, exposure = extracted(bytes(content), mjd_import)
+                name = path.split("/")[-1]
+                one = pd.DataFrame([{f"exp_{k}": v for k, v in exposure.items()}]).assign(name=name, is_exposure=True)
+                yield whole(one)
+                for a in range(0, len(det), 50_000):
+                    yield whole(det.iloc[a : a + 50_000].add_prefix("det_").assign(name=name, is_exposure=False))
+
+    types_ = [f"`{n}` {spark_type(k).simpleString()}" for n, k in zip([*exp_columns, *det_columns], [*EXTRACTED_EXPOSURE.values(), *EXTRACTED.values()])]
+    found = cut(spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, ", ".join(["name string", "is_exposure boolean", *types_])))
+    det = found.where("NOT is_exposure").select("name", *[F.col(f"det_{c}").alias(c) for c in EXTRACTED]).where("ra IS NOT NULL AND NOT isnan(ra) AND dec BETWEEN -90 AND 90")
+    return det, found.where("is_exposure").select("name", *[F.col(f"exp_{c}").alias(c) for c in EXTRACTED_EXPOSURE])
+
+
+def import_extracted(db, det_table: str, exp_table: str, paths: str | list[str], mjd_import: int = 0) -> int:
+    """Import source-extractor catalogues into both tables (made where they are not there), joined by exp_id; returns the
+    number of exposures. Files whose name is loaded already are passed over."""
+    if not db.table_exists(exp_table):
+        db.create_table(exp_table, _definition(EXTRACTED_EXPOSURE | {"name": "a80"}, "exp_id", "mjd", exposure="exp_id"))
+        db.create_table(det_table, _definition(EXTRACTED, "det_id", "mjd", exposure="exp_id"))
+        db.define_default_join(det_table, exp_table, "equi", left=(det_table, "exp_id"), right=(exp_table, "exp_id"))
+    det, exposures = read_extracted(db.spark, paths, mjd_import)
+    fresh = cut(exposures.join(db.read(exp_table).select("name"), "name", "left_anti"))
+    with db.transaction():
+        db.write(exp_table, fresh)
+        ids = db.read(exp_table).select("name", "exp_id").join(fresh.select("name"), "name", "left_semi")
+        db.write(det_table, det.drop("exp_id").join(ids, "name").drop("name"))
+    return fresh.count()
 
 
 def new_files(listed: DataFrame, name: str, loaded: DataFrame, loaded_name: str, version: str | None = None, key: str | None = None) -> DataFrame:

@@ -153,3 +153,56 @@ def test_reduce_with_combiner(spark):
     first = mapreduce.pairs(df, _pairs)
     plain, combined = (mapreduce.unpacked(mapreduce.reduce_by_key(first, _add, combiner=c), "k long, v long") for c in (None, _add))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, combined.collect())) == [(k, sum(range(k, 1000, 3))) for k in range(3)]
+
+
+def test_source_extractor_catalogues(spark, tmp_path, capsys):
+    def unit(cards, table=None):
+        body = b"".join(fits._card(k, v) for k, v in cards) + b"END".ljust(80)
+        return fits._padded(body, b" ") + (fits._padded(table, b"\0") if table is not None else b"")
+
+    names = ["ALPHAWIN_J2000", "DELTAWIN_J2000", "MAG_AUTO", "MAGERR_AUTO", "MU_MAX", "X_IMAGE", "Y_IMAGE"]
+    for f in range(3):
+        rows = np.zeros(4, [(n, ">f8") for n in names])
+        rows["ALPHAWIN_J2000"], rows["DELTAWIN_J2000"] = [10, 10.1, 10.2, np.nan], [5, 5, 5, 5]
+        rows["MAG_AUTO"], rows["MAGERR_AUTO"], rows["MU_MAX"] = [-6.0, -7.0, -8.0, -6.5], 0.0125, [-5.0, -6.5, -6.0, -6.0]
+        rows["X_IMAGE"], rows["Y_IMAGE"] = 1024 + 2048, 2048 + 4096
+        table = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 56), ("NAXIS2", 4), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 7)]
+        for i, n in enumerate(names, 1):
+            table += [(f"TTYPE{i}", n), (f"TFORM{i}", "D")]
+        head = [("XTENSION", "IMAGE"), ("BITPIX", 8), ("NAXIS", 0), ("OBSMJD", 55000.5 + f), ("DBFID", 2), ("PTFFIELD", 100 + f), ("MEDFWHM", 2.5), ("APBSRMS", 0.1 if f else 0.0)]
+        head += [("AEXPTIME", 100.0), ("AIRMASS", 1.5), ("OBSJD", 7.0), ("APMEDJD", 5.0)] + [(f"APPAR{k:02d}", {1: 18.0, 3: 0.1, 5: 0.01, 6: 0.001, 7: 0.2, 8: 0.3}.get(k, 0.0)) for k in range(1, 12)]
+        (tmp_path / f"c{f}.fits").write_bytes(unit([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0)]) + unit(table, rows.tobytes()) + unit(head))
+    root = str(tmp_path / "db")
+    run = lambda: cli.main(["--db", root, "import", "catalogs", "det", *[str(tmp_path / f"c{f}.fits") for f in range(3)], "--exposures", "exp"], spark)
+    assert run() == 0 and "3 exposures" in capsys.readouterr().out
+    db = Database(spark, root)
+    got = [tuple(r) for r in db.query("exp.ptf_field AS f, mag_auto, mag_abs, magerr_abs FROM det, exp").dataframe().collect()]
+    shift = 5.0 + 18.0 + 0.15 + 0.02 + 0.004 + 0.2 + 0.3
+    want = [(100, int(m * 1000), 32000, 12) for m in (-6, -7, -8)] + [(100 + f, int(m * 1000), round((m + shift) * 1000), 12) for f in (1, 2) for m in (-6, -7, -8)]
+    assert sorted(got) == sorted(want)
+    stars = {r["ptf_field"]: (r["n_bright"], round(r["mumax_med"], 3), round(r["mumax_rms"], 4)) for r in db.read("exp").collect()}
+    spread = [1.0, 0.5, 2.0]  # bright: mag_abs below 17000
+    bright = [s for s, m in zip(spread, (-6, -7, -8)) if 14 < m + shift < 17]
+    q = np.percentile(bright + ([0.5] if 14 < -6.5 + shift < 17 else []), [25, 50, 75])
+    assert stars[100][0] == 0 and stars[101] == (len(bright) + (14 < -6.5 + shift < 17), round(float(q[1]), 3), round(0.741 * (q[2] - q[0]), 4))
+    assert run() == 0 and "0 exposures" in capsys.readouterr().out and db.read("det").count() == 9
+
+
+def test_copies_are_deleted_when_nothing_refers_to_them(spark):
+    import gc
+    import time
+    from pathlib import Path
+
+    from skyframe.session import cut
+
+    df = cut(spark.range(1000))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    del df
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
+        if len({p.name for p in folder.iterdir()} & before) < len(before):
+            return
+    raise AssertionError("the copy is still there")
