@@ -18,7 +18,7 @@ from skyframe.catalog.storage import Folder
 from skyframe.functions import sky
 from skyframe.operators.sequence import rank_in_groups
 from skyframe.plans.joins import q
-from skyframe.session import cut
+from skyframe.session import cut, setting
 from skyframe.types import dtype_of, spark_type, string_width, zero
 
 CELL_SCHEMA = "cell long, t long, snapid string, nrows long, top long"
@@ -378,7 +378,9 @@ class Table:
         rows = old.unionByName(rows.select(*old.columns))
         aside = f"data/_SNAP={snapid}-{len(self.folder.names('data'))}"
         # one file per small cell; adaptive execution splits a cell with most of the rows over several tasks and files
-        rows.hint("rebalance", "_CELL", "_T").write.partitionBy("_CELL", "_T").parquet(self.folder.at(aside))
+        # (and leaves many small cells on all cores: their files, not their bytes, take time)
+        with setting(self.spark, "spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b"):
+            rows.hint("rebalance", "_CELL", "_T").write.partitionBy("_CELL", "_T").parquet(self.folder.at(aside))
         self._adopt(aside, snapid, before, touched)
 
     def _adopt(self, aside: str, snapid: str, before: DataFrame, touched: DataFrame) -> None:

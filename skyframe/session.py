@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,14 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
         one = left[name].eqNullSafe(right[name])
         condition = one if condition is None else condition & one
     return condition
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """Run with a session setting, then put back what it was."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
