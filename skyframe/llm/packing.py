@@ -158,13 +158,13 @@ def fill_report(packed: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
 def limits_report(packed: DataFrame, lengths: DataFrame, doc_id: str, packs: list[tuple[str, int]], **options) -> DataFrame:
     """pack_name, documents, lost_tokens, divided, over_tokens, over_documents, over_attention: documents placed, tokens of
     ``lengths`` not placed exactly once, documents divided that fit, and containers over each limit (one document alone
-    may cost more attention than the limit). ``options``: as for pack. doc_id must be unique."""
-    per = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("items"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("cost"))
+    may cost more attention than the limit; documents without tokens beside it cost none). ``options``: as for pack. doc_id must be unique."""
+    per = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("items"), F.count_if(F.col("n_tokens") > 0).alias("filled"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("cost"))
     rows = [(n, int(c), *container_limits(int(c), **options)) for n, c in packs]
     limits = F.broadcast(packed.sparkSession.createDataFrame(rows, "pack_name string, capacity long, docs long, attention double"))
     over = per.join(limits, "pack_name").groupBy("pack_name").agg(
         F.count_if(F.col("t") > F.col("capacity")).alias("over_tokens"), F.count_if(F.col("items") > F.col("docs")).alias("over_documents"),
-        F.count_if((F.col("items") > 1) & (F.col("cost") > F.col("attention") * (1 + 1e-9))).alias("over_attention"),
+        F.count_if((F.col("filled") > 1) & (F.col("cost") > F.col("attention") * (1 + 1e-9))).alias("over_attention"),
     )
     mine = packed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("parts"))
     want = lengths.select(F.col(doc_id).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n"))

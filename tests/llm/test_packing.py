@@ -79,3 +79,11 @@ def test_short_items_do_not_wait(monkeypatch):
     monkeypatch.setattr(packing, "arrival", lambda size, need: np.argsort(-size, kind="stable"))
     longest = len(set(packing.best_fit(n, 512, 8, 1e18)))
     assert mixed < 0.97 * longest
+
+
+def test_empty_documents_beside_a_costly_one(spark):
+    df = spark.createDataFrame([(1, 500), (2, 0), (3, 0)], "id long, n_tokens long")
+    packs, limits = [("one", 512)], {"attention": 0.5, "tokens_per_doc": 64}
+    out = packing.pack(df, "id", packs, **limits)
+    report = packing.limits_report(out, df, "id", packs, **limits).collect()[0]
+    assert out.count() == 3 and report["over_attention"] == 0 and report["documents"] == 3
