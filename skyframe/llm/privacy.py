@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -191,56 +192,58 @@ class Finder:
         """
         p = self._patterns()
         spans: list[tuple] = []
-        holes: list[tuple[int, int]] = []
+        held = bytearray(len(text) + 1)  # 1 where a span is; all look-ups are local, so a long text costs its length
+
+        def hold(a: int, b: int) -> bool:
+            """Take a stretch that is free."""
+            if held.find(1, a, b) >= 0:
+                return False
+            held[a:b] = b"\1" * (b - a)
+            return True
+
+        for a, b in self._mails(text, p):
+            hold(a, b)
+            spans.append(("email", a, b, None, None, self._label(text, a), None, 1, -1))
         runs = [m.span() for m in re.finditer(r"\d+", text)]
         numbers = []
         for lo, hi in self._clusters(text, runs):
-            taken: list[tuple[int, int]] = []
             for kind in ("id", "phone", "number"):
                 for m in p[kind].finditer(text, lo, hi):
                     a, b = m.span()
-                    if any(a < y and x < b for x, y in taken):
-                        continue
-                    if kind == "number" and (sum(c.isdigit() for c in m[0]) < 7 or AMOUNT.fullmatch(m[0])):
+                    if kind == "number" and (sum(c.isdigit() for c in m[0]) < 7 or AMOUNT.fullmatch(m[0])) or not hold(a, b):
                         continue
-                    taken.append((a, b))
                     if kind == "phone":
                         spans.append(("phone", a, b, None, None, self._label(text, a), None, 1, -1))
                     else:
                         numbers.append((a, b, kind == "id"))
-            holes += taken
-        for a, b in self._mails(text, p):
-            spans = [s for s in spans if s[2] <= a or b <= s[1]]
-            numbers = [n for n in numbers if n[1] <= a or b <= n[0]]
-            spans.append(("email", a, b, None, None, self._label(text, a), None, 1, -1))
-            holes.append((a, b))
-        places = []
-        if runs:
-            for kind, a, b in self._addresses(text, runs, holes, p):
-                row = (kind, a, b, None, None, self._context(text, a).rpartition(" ")[2], None, 1, -1)
-                (spans if kind == "address" else places).append(row)
-                if kind == "address":
-                    holes.append((a, b))
-            # a number and town right after an address are its postcode
-            ends = {s[2] for s in [*spans, *places] if s[0] in ("address", "place")}
-            places = [r for r in places if r[1] - len(text[max(0, r[1] - 4) : r[1]]) + len(text[max(0, r[1] - 4) : r[1]].rstrip(" ,")) not in ends and not any(x < r[2] and r[1] < y for x, y in holes)] if places else places
-            holes += [r[1:3] for r in places]
+        places, ends = [], set()
+        for kind, a, b in self._addresses(text, runs, held, p) if runs else ():
+            row = (kind, a, b, None, None, self._context(text, a).rpartition(" ")[2], None, 1, -1)
+            ends.add(b)
+            if kind == "address":
+                hold(a, b)
+                spans.append(row)
+            else:
+                places.append(row)
+        # a number and town right after an address are its postcode; a street may have begun before what stood beside a number
+        before = lambda a: a - len(text[max(0, a - 4) : a]) + len(text[max(0, a - 4) : a].rstrip(" ,"))
+        places = [r for r in places if before(r[1]) not in ends and hold(r[1], r[2])]
         masked = text
-        if holes:
+        if spans or numbers or places:
             pieces, at = [], 0
-            for a, b in sorted(holes):
+            for a, b in sorted(r[1:3] for r in [*spans, *places, *((None, *n) for n in numbers)]):
                 if b > at:
                     pieces += [text[at : max(a, at)], "_" * (b - max(a, at))]
                     at = b
             masked = "".join(pieces) + text[at:]
         names = list(self._names(masked, p, words))
         if numbers:
-            held = sorted([s[1] for s in spans] + [s[1] for s in names if s[7]])
+            protected = sorted([s[1] for s in spans] + [s[1] for s in names if s[7]])
             cuts = [m.start() for m in p["sentence"].finditer(masked)]
             for a, b, known in numbers:
-                i = np.searchsorted(cuts, a)
+                i = bisect_left(cuts, a)
                 low, high = (cuts[i - 1] if i else 0), (cuts[i] if i < len(cuts) else len(text))
-                near = any(low <= h < high for h in held)
+                near = bisect_left(protected, low) < bisect_left(protected, high)
                 spans.append(("number", a, b, None, shape(text[a:b]), self._label(text, a), None, int(near) + 2 * known, -1))
         yield from spans
         yield from places
@@ -297,20 +300,22 @@ class Finder:
                 yield start, m.end()
                 done = m.end()
 
-    def _addresses(self, text: str, runs: list, holes: list, p: dict) -> Iterator[tuple[str, int, int]]:
-        done = 0
+    def _addresses(self, text: str, runs: list, held: bytearray, p: dict) -> Iterator[tuple[str, int, int]]:
+        done = line = seen = 0
         for a, b in runs:
-            if a < done or (a and text[a - 1] in "/-") or any(x < b and a < y for x, y in holes):
+            while (k := text.find("\n\n", seen, a)) >= 0:  # the paragraph's beginning
+                line = seen = k + 1
+            seen = max(seen, a - 1)
+            if a < done or (a and text[a - 1] in "/-") or held.find(1, a, b) >= 0:
                 continue
             kind = "address"
             m = p["after_number"].match(text, a)
-            line = max(done, text.rfind("\n\n", 0, a) + 1)
+            back = max(done, line, self._back(text, a, 3))
             if m:
-                flat = p["flat"].search(text, max(line, self._back(text, a, 3)), a)
+                flat = p["flat"].search(text, back, a)
                 start, end = flat.start() if flat else a, m.end()
             else:
                 house = p["house"].match(text, a) if a and text[a - 1].isspace() else None
-                back = max(line, self._back(text, a, 3))
                 word = text[back:a].split()[-1:]
                 street = None
                 if house and word:
@@ -323,7 +328,7 @@ class Finder:
                     kind, start, end = "place", a, m.end()
                 else:
                     continue
-            if "\n\n" in text[start:end] or any(x < end and start < y for x, y in holes):
+            if "\n\n" in text[start:end] or held.find(1, start, end) >= 0:
                 continue
             yield kind, start, end
             if kind == "address":
