@@ -179,10 +179,29 @@ class Database:
             raise ValueError("priorities go from -1 to 10")
         self.hooks.setdefault(table, []).append((priority, hook))
 
+    def _stored_hooks(self, table: str) -> list[tuple[int, Callable]]:
+        """Hooks of a table's definition: [name, priority, module, function, arguments]; called as function(db, table, *arguments)."""
+        out = []
+        for _, priority, module, function, *more in self.table(table).schema.commit_hooks:
+            call = getattr(importlib.import_module(module), function)
+            out.append((priority, lambda db, t, call=call, more=more: call(db, t, *(more[0] if more else ()))))
+        return out
+
+    def break_lock(self, older_than_s: float = 0.0) -> bool:
+        """Take away the lock of a writer that has died; not one younger than ``older_than_s``. Whether there was one."""
+        folder = Folder(self.spark, self.roots[0])
+        if self.pending or not folder.exists("transaction.lock"):
+            return False
+        since = datetime.strptime(folder.read("transaction.lock"), "%Y%m%d%H%M%S.%f").replace(tzinfo=timezone.utc)
+        if time.time() - since.timestamp() < older_than_s:
+            return False
+        folder.delete("transaction.lock")
+        return True
+
     def commit(self) -> None:
         if not self.pending:
             raise CatalogError("no transaction")
-        jobs = [(p, i, t, h) for t in sorted(self._touched) for i, (p, h) in enumerate(self.hooks.get(t, []))]
+        jobs = [(p, i, t, h) for t in sorted(self._touched) for i, (p, h) in enumerate([*self._stored_hooks(t), *self.hooks.get(t, [])])]
         for _, _, t, h in sorted(jobs, key=lambda j: j[:3]):
             h(self, t)
         for t in sorted(self._touched):

@@ -114,6 +114,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("desc", "snapshots", "drop", "vacuum", "rebuild", "unfollow"):
         asub.add_parser(name).add_argument("table")
     asub.add_parser("tables")
+    asub.add_parser("unlock", help="take away the lock of a writer that has died").add_argument("--older-than", type=float, default=3600.0, help="seconds")
     alias = asub.add_parser("alias", help="another name of a column")
     for word in ("table", "alias", "column"):
         alias.add_argument(word)
@@ -265,6 +266,8 @@ def _admin(db, a) -> int:
             db.define_default_join(a.left, a.right, "indirect", overwrite=True, m1=(a.links[0], a.links[1]), m2=(a.links[0], a.links[2]))
         else:
             db.define_default_join(a.left, a.right, "equi", overwrite=True, left=(a.left, a.on[0]), right=(a.right, a.on[1]))
+    elif a.action == "unlock":
+        print("unlocked" if db.break_lock(a.older_than) else "no lock of that age")
     elif a.action == "tables":
         print("\n".join(db.tables()))
     elif a.action == "drop":

@@ -370,6 +370,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mapreduce.unpacked(mapreduce.reduce_by_key(second, _total, combiner=_total), "parity long, total long")
 
 
+@query("c36_execute", "SELECT c_nationkey AS nation, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Kernels over a query's rows; what the last one yields (25 results) comes to the caller."""
+
+    def mapped(block):
+        for key, part in block.groupby("nation"):
+            yield int(key), (len(part), int(part["k"].max()))
+
+    def reduced(key, values):
+        counts, last = zip(*values)
+        yield key, sum(counts), max(last)
+
+    found = list(database(spark, d).query("c_nationkey AS nation, c_custkey AS k FROM customer").execute([mapped, reduced]))
+    return spark.createDataFrame(found, "nation int, n long, last long")
+
+
 # ------------------------------------------------------------------ stored tables
 @query("c40_catalogue_counts", "SELECT count(*) AS recorded, count(*) AS stored, CAST(0 AS BIGINT) AS wrong_cells, count(*) AS rebuilt FROM customer WHERE c_custkey % 3 <> 0")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -206,3 +206,51 @@ def test_copies_are_deleted_when_nothing_refers_to_them(spark):
         if len({p.name for p in folder.iterdir()} & before) < len(before):
             return
     raise AssertionError("the copy is still there")
+
+
+def test_stored_hooks_and_dead_writers(spark, tmp_path, monkeypatch, capsys):
+    import sys
+    import types
+
+    from skyframe.catalog.table import CatalogError
+
+    called = []
+    module = types.ModuleType("own_hooks")
+    module.note = lambda db, table, *more: called.append((table, *more))
+    monkeypatch.setitem(sys.modules, "own_hooks", module)
+    root = str(tmp_path / "db")
+    db = Database(spark, root)
+    definition = {"schema": {"main": {"columns": [("id", "u8"), ("ra", "f8"), ("dec", "f8")], "primary_key": "id", "spatial_keys": ["ra", "dec"]}}, "commit_hooks": [["Note it", 1, "own_hooks", "note", ["x"]], ["Plain", 0, "own_hooks", "note"]]}
+    db.create_table("t", definition)
+    rows = spark.createDataFrame([(1.0, 2.0)], "ra double, dec double")
+    Database(spark, root).write("t", rows)
+    assert called == [("t",), ("t", "x")]
+    Database(spark, root).begin_transaction()  # and its writer dies
+    with pytest.raises(CatalogError):
+        Database(spark, root).write("t", rows)
+    assert cli.main(["--db", root, "admin", "unlock"], spark) == 0 and "no lock" in capsys.readouterr().out
+    assert cli.main(["--db", root, "admin", "unlock", "--older-than", "0"], spark) == 0 and "unlocked" in capsys.readouterr().out
+    Database(spark, root).write("t", rows)
+    assert db.read("t").count() == 2
+
+
+def test_streams(spark, tmp_path):
+    from datetime import datetime
+
+    from skyframe.streaming import windows
+
+    source, out = str(tmp_path / "in"), []
+    schema = "k long, kind string, t timestamp"
+    at = lambda h, m: datetime(2030, 1, 1, h, m)
+    first = [(1, "a", at(0, 5)), (2, "a", at(0, 50)), (2, "a", at(0, 50)), (3, "b", at(1, 10))]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    counts = windows.windowed_counts(stream(), "t", ["kind"], "1 hour")
+    windows.ingest(counts, lambda df, n: out.append([(r["kind"], r["start"].hour, r["n"]) for r in df.collect()]), str(tmp_path / "s1"), "complete").awaitTermination()
+    assert sorted(out[-1]) == [("a", 0, 3), ("b", 1, 1)]
+    seen = []
+    once = lambda: windows.ingest(windows.once_each(stream(), "k", "t"), lambda df, n: seen.extend(r["k"] for r in df.collect()), str(tmp_path / "s2")).awaitTermination()
+    once()
+    spark.createDataFrame([(3, "b", at(1, 10)), (4, "b", at(2, 0))], schema).write.mode("append").parquet(source)
+    once()  # goes on where it stopped; what came before does not come again
+    assert sorted(seen) == [1, 2, 3, 4]
